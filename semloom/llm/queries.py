@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semloom.llm.best import best_records, concept_of, skyline_layers, survivors
+from semloom.llm.mapping import map_values
 from semloom.llm.topn import top_n
 from semloom.session import col, table
 
@@ -30,7 +31,26 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(table(spark, sf_dir, "suggestion"), "uri", "score", "source_provider", "suggestion_id", 3)
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found}
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(concept, spelling, ord): the labels of the reference list, then its synonyms."""
+    index = table(spark, sf_dir, "ontology_index").select(F.col("concept_id").alias("concept"), "label", "label_norm", "ord")
+    synonyms = table(spark, sf_dir, "ontology_synonym").select("syn_norm", "canonical", F.col("ord").alias("syn_ord"))
+    named = synonyms.join(index, synonyms["canonical"] == index["label"]).select("concept", F.col("syn_norm").alias("spelling"), (F.col("syn_ord") + (1 << 40)).alias("ord"))
+    return index.select("concept", F.col("label_norm").alias("spelling"), "ord").unionByName(named)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = (("matching_table_for_reconciliation", "term_id", "term"), ("master_mapping", "row_id", "term"), ("model_parameter", "param_key", "name"))
+    values = None
+    for src, key, text in sources:
+        part = table(spark, sf_dir, src).select(F.lit(src).alias("src"), F.col(key).alias("row_key"), F.col(text).alias("text"))
+        values = part if values is None else values.unionByName(part)
+    values = values.where(F.regexp_replace("text", r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+", "") != "")
+    found = map_values(values, _entries(spark, sf_dir))
+    return values.join(found.where("concept is not null"), "text", "left").select("src", "row_key", F.coalesce("concept", F.lit(0)).cast("long").alias("concept_id"))
+
+
+QUERIES = {"p4_found": p4_found, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found}
 
 _CONCEPT = r"""
   case when uri is null or regexp_matches(uri, '^\s*(-|[nN]/[aA])?\s*$') then nullif(trim(id), '')
