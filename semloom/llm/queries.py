@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from semloom.llm.best import best_records, concept_of, skyline_layers, survivors
 from semloom.llm.mapping import map_values
+from semloom.llm.packing import certificate, pack, token_sizes
+from semloom.llm.tokens import encode_corpus
 from semloom.llm.topn import top_n
 from semloom.session import col, table
 
@@ -50,7 +52,35 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.join(found.where("concept is not null"), "text", "left").select("src", "row_key", F.coalesce("concept", F.lit(0)).cast("long").alias("concept_id"))
 
 
-QUERIES = {"p4_found": p4_found, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found}
+def vocabulary(spark: SparkSession) -> str:
+    """Path of the vocabulary file, the same on every executor: the setting ``semloom.tokenizer``, else the installed public file."""
+    path = spark.conf.get("semloom.tokenizer", None)
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return path
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(spark))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(spark)))
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and place of each piece of each document."""
+    return _packed(spark, sf_dir).withColumnsRenamed({"id": "doc_id", "start": "token_start", "n": "n_tokens", "offset": "container_start"})
+
+
+def p7_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used against the lower bound that no packing can beat."""
+    return certificate(_packed(spark, sf_dir))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_packing": p7_packing, "p7_certificate": p7_certificate, "p4_found": p4_found, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found}
 
 _CONCEPT = r"""
   case when uri is null or regexp_matches(uri, '^\s*(-|[nN]/[aA])?\s*$') then nullif(trim(id), '')
