@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semloom.llm.best import best_records, concept_of, skyline_layers, survivors
 from semloom.llm.mapping import map_values
 from semloom.llm.packing import certificate, pack, token_sizes
+from semloom.llm.pii import find_personal, redact
 from semloom.llm.tokens import encode_corpus
 from semloom.llm.topn import top_n
 from semloom.session import col, table
@@ -80,7 +81,16 @@ def p7_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certificate(_packed(spark, sf_dir))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_packing": p7_packing, "p7_certificate": p7_certificate, "p4_found": p4_found, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders in place of personal information."""
+    return redact(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_certificate": p7_certificate, "p4_found": p4_found, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found}
 
 _CONCEPT = r"""
   case when uri is null or regexp_matches(uri, '^\s*(-|[nN]/[aA])?\s*$') then nullif(trim(id), '')
