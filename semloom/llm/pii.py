@@ -138,10 +138,9 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _names(text: str) -> Iterator[tuple[int, int, str]]:
     for run in RUN.finditer(text):
-        a0 = run.start()
-        if a0 and (text[a0 - 1].isalnum() or text[a0 - 1] in "/_@-#"):
-            continue
         parts = [(m.start(), m.end()) for m in RUN_PART.finditer(text, run.start(), run.end())]
+        if parts and parts[0][0] and (text[parts[0][0] - 1].isalnum() or text[parts[0][0] - 1] in "/_@-#"):
+            del parts[0]
         for i in range(len(parts)):
             form = ""
             for j in range(i, min(i + 4, len(parts))):
