@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from semloom.plans import packed_units
+from semloom.plans import packed_units, reconcile
 
-QUERIES = {**packed_units.QUERIES}
-SQL = {**packed_units.SQL}
-FLAGSHIP = "p1_found"
+MODULES = (packed_units, reconcile)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
+FLAGSHIP = "t3_best_match"
