@@ -52,8 +52,9 @@ def well_formed(suggestions: DataFrame) -> DataFrame:
 
 
 def scored(terms: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Suggestions with their term and the edit similarity of term and label."""
-    return suggestions.join(terms.select("term_id", "term"), "term_id").withColumn("levenshtein_score", levenshtein_similarity(strip(F.col("term")), F.col("label")))
+    """Suggestions with their term and the edit similarity of term and label; a blank term has none."""
+    asked = terms.select("term_id", "term").where(strip(F.col("term")) != "")
+    return suggestions.join(asked, "term_id").withColumn("levenshtein_score", levenshtein_similarity(strip(F.col("term")), F.col("label")))
 
 
 def ranked(suggestions: DataFrame, key: Column, n: int, group: str = "term_id") -> DataFrame:

@@ -31,9 +31,12 @@ def x1_levenshtein_pairs(load):
     return pairs.withColumn("score", T.levenshtein_similarity(F.col("term"), F.col("candidate")))
 
 
-_STRIP = "regexp_replace({c}, '^" + T.WHITE + "+|" + T.WHITE + "+$', '', 'g')"
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')"
+
+
 _TOP = f"""
-with t as (select term_id, {_STRIP.format(c="term")} as term from matching_table_for_reconciliation where coalesce(uri, '') in ('', 'No Match')),
+with t as (select term_id, {_strip("term")} as term from matching_table_for_reconciliation where coalesce(uri, '') in ('', 'No Match') and {_strip("term")} <> ''),
 s as (select s.term_id, s.suggestion_id, s.label, s.uri, s.provider_ord, s.api_rank, s.score as api_score, {_SQL_LEV.format(a="t.term", b="s.label")} as lev
   from suggestion s join t on s.term_id = t.term_id
   where s.label is not null and s.uri is not null and regexp_full_match(t.term, '[\\x00-\\x7f]*') and regexp_full_match(s.label, '[\\x00-\\x7f]*'))
@@ -72,7 +75,7 @@ def t2_local_threshold(load):
 select m.term_id, case when coalesce(m.uri, '') not in ('', 'No Match') then m.uri when b.score >= 0.7 then b.f.u else 'No Match' end as uri,
   case when coalesce(m.uri, '') not in ('', 'No Match') then coalesce(m.provider_term, '') when b.score >= 0.7 then b.f.l else '' end as provider_term,
   case when (coalesce(m.uri, '') not in ('', 'No Match') or b.score >= 0.7 and b.f.u not in ('', 'No Match')) and coalesce(m.match_type, '') = '' then 'skos:exactMatch' else coalesce(m.match_type, '') end as match_type
-from matching_table_for_reconciliation m left join b using (term_id) where regexp_full_match(coalesce(""" + _STRIP.format(c="m.term") + """, ''), '[\\x00-\\x7f]*')""")
+from matching_table_for_reconciliation m left join b using (term_id) where regexp_full_match(coalesce(""" + _strip("m.term") + """, ''), '[\\x00-\\x7f]*')""")
 def t3_best_match(load):
     """T3/T4. Every term with its best match or 'No Match' (the flagship)."""
     terms = load("matching_table_for_reconciliation").where(F.coalesce(T.strip(F.col("term")), F.lit("")).rlike(ASCII))
@@ -209,7 +212,7 @@ def x18_uri_parts(load):
 
 
 @query(f"""select row_id, cast(unnest(generate_series(1, len(v))) as integer) as pos, unnest(v) as part from (
-  select row_id, list_filter(list_transform(string_split(altlabels, ','), lambda x: {_STRIP.format(c='x')}), lambda x: x <> '') as v from master_mapping where altlabels is not null)""")
+  select row_id, list_filter(list_transform(string_split(altlabels, ','), lambda x: {_strip('x')}), lambda x: x <> '') as v from master_mapping where altlabels is not null)""")
 def x21_comma_list(load):
     m = load("master_mapping").select("row_id", F.posexplode(T.comma_list(F.col("altlabels"))).alias("pos", "part"))
     return m.select("row_id", (F.col("pos") + 1).alias("pos"), "part")
@@ -256,8 +259,8 @@ def x2_cosine(load):
     return e.join(first, "label").select("vec_id", "label", F.round(T.cosine(F.col("embedding"), F.col("b")), 6).alias("score"))
 
 
-@query(rf"""with s as (select suggestion_id, {_SQL_LEV.format(a=_STRIP.format(c="m.term"), b="s.label")} as lev, case when isnan(s.score) or s.score is null then 0.0 else s.score end as c
-  from suggestion s join matching_table_for_reconciliation m using (term_id) where regexp_full_match({_STRIP.format(c='m.term')}, '[\x00-\x7f]*') and regexp_full_match(s.label, '[\x00-\x7f]*'))
+@query(rf"""with s as (select suggestion_id, {_SQL_LEV.format(a=_strip("m.term"), b="s.label")} as lev, case when isnan(s.score) or s.score is null then 0.0 else s.score end as c
+  from suggestion s join matching_table_for_reconciliation m using (term_id) where regexp_full_match({_strip('m.term')}, '[\x00-\x7f]*') and {_strip('m.term')} <> '' and regexp_full_match(s.label, '[\x00-\x7f]*'))
 select suggestion_id, round(c * 0.5 + c * 0.2 + lev * 0.3, 9) as score from s""")
 def x2_hybrid(load):
     """X2. Weighted sum of two cosines (here the provider's score stands for both) and the edit similarity."""
