@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.functions.text import hash_id, sanitize_iri, strip_digits
+from semloom.session import computed
 
 NODES = "model_id string, node_id long, parent_id long, path string, key string, arr_ix int, kind string, value string"
 
@@ -100,7 +101,7 @@ def identified(nodes: DataFrame, base: str, ontology: DataFrame | None = None) -
     kind = kind.otherwise(F.replace("path", F.lit("."), F.lit("/")))
     raw = raw.otherwise(F.coalesce(*(F.substring(get(n), 1, 50) for n in ANY)))
     ruled = section | last.isin(*RULES)
-    chosen = o.select("*", last.alias("last"), section.alias("section"), kind.alias("k"), raw.alias("raw"), F.concat(hash_id(content), F.when(~ruled & (F.col("arr_ix") > 0), F.concat(F.lit("_"), F.col("arr_ix"))).otherwise("")).alias("hash"))
+    chosen = computed(o, *o.columns, last.alias("last"), section.alias("section"), kind.alias("k"), raw.alias("raw"), F.concat(hash_id(content), F.when(~ruled & (F.col("arr_ix") > 0), F.concat(F.lit("_"), F.col("arr_ix"))).otherwise("")).alias("hash"))
     name = F.coalesce(F.nullif(sanitize_iri(F.col("raw")), F.lit("")), F.col("hash"))
     o, last, iri = chosen, F.col("last"), F.concat(model, F.lit("/"), F.col("k"), F.when(F.col("section"), "").otherwise(F.concat(F.lit("/"), name)))
     text = F.coalesce(*(F.when(last == k, get(v)) for k, v in FROM_ONTOLOGY.items()))
