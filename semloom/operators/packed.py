@@ -90,10 +90,11 @@ def split_packed(df: DataFrame, field: str, keys: Sequence[str], pos: str = "pos
     pieces = F.when(text.rlike(STRONG), _parts(text, SPLIT_STRONG)).otherwise(_parts(text, SPLIT_COMMA))
     split = masked.select(*names, "__spans", F.transform(pieces, _trim).alias("__items"))
     kept = split.select(*names, "__spans", F.filter("__items", lambda x: (x != "") & ~_blank_quoted(x, F.col("__spans"))).alias("__items"))
-    rows = kept.select(*names, "__spans", F.posexplode("__items").alias("__pos", "__item"))
+    # Each item takes its own spans along before the rows part, so no row carries the whole field.
+    own = lambda x: F.transform(F.regexp_extract_all(x, F.lit(PLACE), F.lit(1)), lambda p: F.get("__spans", p.try_cast("int")))
+    rows = kept.select(*names, F.posexplode(F.transform("__items", lambda x: F.struct(x.alias("item"), own(x).alias("in")))).alias("__pos", "__x"))
     item = F.col("__item")
-    places = F.regexp_extract_all(item, F.lit(PLACE), F.lit(1))
-    parted = rows.select(*names, "__pos", "__item", F.transform(places, lambda p: F.get("__spans", p.try_cast("int"))).alias("__in"), _parts(item, PLACE).alias("__texts"))
+    parted = rows.select(*names, "__pos", F.col("__x.item").alias("__item"), F.col("__x.in").alias("__in")).select(*names, "__pos", "__item", "__in", _parts(item, PLACE).alias("__texts"))
     span = F.get("__in", F.lit(0))
     mixed = F.array_join(F.transform("__texts", lambda t, i: F.concat(t, F.coalesce(_span_value(F.get("__in", i)), F.lit("")))), "")
     alone = (F.size("__in") == 1) & item.rlike(rf"^{OPEN}\d+{CLOSE}$") & span.rlike("^[\"']")
