@@ -90,7 +90,8 @@ class Turtle:
             if kind == "directive":
                 self.next()
                 if text.lower().lstrip("@") == "prefix":
-                    self.prefixes[self.next()[1][:-1]] = self.iri(self.next()[1])
+                    name = self.next()[1][:-1]
+                    self.prefixes[name] = self.iri(self.next()[1])
                 else:
                     self.base = self.iri(self.next()[1])
                 if text[0] == "@":
