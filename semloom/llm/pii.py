@@ -49,14 +49,15 @@ _STREETS = (
     rf"\d+[a-zA-Z]?(?:{_S}(?:bis|ter|BIS|TER))?,?{_S}(?:rue|avenue|boulevard|place|quai|chemin|RUE|AVENUE|BOULEVARD|PLACE|QUAI)(?:{_S}(?:de la|des|du|de|DE LA|DES|DU|DE))?{_S}{_TOWN}",
     rf"(?:Calle|Avenida|Avda\.|Plaza|Paseo|CALLE|AVENIDA|PLAZA){_S}(?:(?:de la|del|de){_S})?{_TOWN}{_S}\d+[a-zA-Z]?(?:,{_S}\d+\.[ºª°]{_S}[A-Z](?!\w))?",
     rf"(?:ul|al|os|pl|UL|AL)\.{_S}{_TOWN}{_S}\d+[a-zA-Z]?(?:/\d+)?",
-    rf"[{_U}](?:[{_L}]+(?:straße|strasse|str\.|gasse|weg|platz|allee|ring)|[{_U}ß]+(?:STRASSE|STRAßE|STR\.|GASSE|WEG|PLATZ|ALLEE|RING)){_S}\d+[a-zA-Z]?(?!\w)",
+    rf"[{_U}](?:[{_L}]+(?:straße|strasse|str\.|gasse|weg|platz|allee)|[{_U}ß]+(?:STRASSE|STRAßE|STR\.|GASSE|WEG|PLATZ|ALLEE)){_S}\d+[a-zA-Z]?(?!\w)",
 )
 #: Where an address may begin: what a pattern needs is found first by a plain search.
 STREET = re.compile(r"(?<![\w/.-])(?:" + "|".join(f"(?:{s})" for s in _STREETS) + ")")
 #: Words one of which every street has; they are found first, as that is much faster than the patterns. Fixed values.
-STREET_WORDS = tuple(
-    w for k in (" Street", " St", " Road", " Rd", " Lane", " Ave", " Court", " Drive", " Close", " Square", " Terrace", " Way", "rue ", "avenue ", "boulevard ", "place ", "quai ", "chemin ", "Calle ", "Avenida ", "Avda. ", "Plaza ", "Paseo ", "ul. ", "os. ", "pl. ", "al. ", "straße ", "strasse ", "str. ", "ring ", "gasse ", "weg ", "platz ", "allee ")
-    for w in dict.fromkeys((k, k.lower() if k[0] == " " else k, k.upper(), k.replace(" ", "\u00a0")))
+STREET_WORDS = (
+    " St", " ST", " Road", " ROAD", " Rd", " Lane", " LANE", " Ave", " AVE", " Court", " COURT", " Drive", " DRIVE", " Close", " Square", " Terrace", " Way", " street", " road", " lane", " court",
+    "rue ", "avenue ", "boulevard ", "place ", "quai ", "chemin ", "RUE ", "AVENUE ", "BOULEVARD ", "PLACE ", "QUAI ", "Calle ", "CALLE ", "Avenida ", "AVENIDA ", "Avda. ", "Plaza ", "PLAZA ", "Paseo ",
+    "ul. ", "UL. ", "os. ", "OS. ", "al. ", "AL. ", "pl. ", "PL. ", "straße ", "strasse ", "str. ", "gasse ", "weg ", "platz ", "allee ", "STRASSE ", "STRAßE ", "STR. ", "GASSE ", "WEG ", "PLATZ ", "ALLEE ",
 )
 AFTER_STREET = (
     re.compile(rf"{_BREAK}(?:\d{{5}}|\d\d-\d{{3}}){_S}{_TOWN}"),
@@ -88,7 +89,7 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
         if a and (text[a - 1].isalnum() or text[a - 1] in "./-,_"):
             continue
         s = m.group()
-        if not 7 <= sum(c.isdigit() for c in s) <= 16:
+        if not 7 <= sum(map(str.isdigit, s)) <= 16:
             continue
         while s.count("(") > s.count(")") and s[0] == "(":
             a, s = a + 1, s[1:]
@@ -100,7 +101,7 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
         if a and (text[a - 1].isalnum() or text[a - 1] in "./-,_+"):
             continue
         s = m.group()
-        if sum(c.isdigit() for c in s) >= 6:
+        if sum(map(str.isdigit, s)) >= 6:
             yield a, b, "id_number", s
             # Letters before a blank may be the end of a label.
             if lead := re.match("[A-Z]+ ", s):
@@ -109,11 +110,12 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
     hints = []
+    plain = text.replace("\u00a0", " ")
     for w in STREET_WORDS:
-        i = text.find(w)
+        i = plain.find(w)
         while i >= 0:
             hints.append((i, i + len(w)))
-            i = text.find(w, i + 1)
+            i = plain.find(w, i + 1)
     seen = 0
     for h, k in sorted(hints):
         if h < seen:
