@@ -149,7 +149,7 @@ def from_rotated(rlat: Column, rlon: Column, pole_lat: float, pole_lon: float) -
     p = math.radians(pole_lat)
     lat, lon = F.radians(rlat), F.radians(rlon)
     out_lat = F.degrees(F.asin(math.sin(p) * F.sin(lat) + math.cos(p) * F.cos(lat) * F.cos(lon)))
-    out_lon = F.degrees(F.atan2(F.cos(lat) * F.sin(lon), math.sin(p) * F.cos(lat) * F.cos(lon) - math.cos(p) * F.sin(lat))) + pole_lon
+    out_lon = F.degrees(F.atan2(F.cos(lat) * F.sin(lon), math.sin(p) * F.cos(lat) * F.cos(lon) - math.cos(p) * F.sin(lat))) + pole_lon + 180
     return out_lat, F.pmod(out_lon + 180, F.lit(360.0)) - 180
 
 

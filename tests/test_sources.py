@@ -151,3 +151,11 @@ def test_providers(spark):
 def test_csv_sink_with_mark(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([("x",)], "Term string"), str(tmp_path / "o"), bom=True)
     assert next((tmp_path / "o").glob("part*")).read_bytes().startswith(b"\xef\xbb\xbfTerm")
+
+
+def test_grid_reads_only_its_partitions(spark, tmp_path):
+    g = spark.createDataFrame([("tas", 1980, 1.0), ("tas", 1981, 2.0), ("pr", 1980, 3.0)], "variable string, year int, v double")
+    g.write.partitionBy("variable", "year").parquet(str(tmp_path / "g"))
+    out = files.read_grid(spark, str(tmp_path / "g"), "tas", 1980, 1980)
+    assert [r["v"] for r in out.collect()] == [1.0]
+    assert "PartitionFilters: [isnotnull(variable" in out._jdf.queryExecution().executedPlan().toString()
