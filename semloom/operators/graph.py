@@ -120,7 +120,7 @@ def concepts_in_schemes(triples: DataFrame, prefixes: Sequence[str]) -> DataFram
 
 def scope_links(triples: DataFrame, predicate: str, variable: str) -> DataFrame:
     """(model, variable): linked by way of a scope node or directly."""
-    return union(path(triples, "?model", ["fsk:hasScope", predicate], f"?{variable}"), bgp(pattern(triples, "?model", "rdf:type", "fsk:Model"), pattern(triples, "?model", predicate, f"?{variable}")))
+    return union(path(triples, "?model", ["meta:hasScope", predicate], f"?{variable}"), bgp(pattern(triples, "?model", "rdf:type", "meta:Model"), pattern(triples, "?model", predicate, f"?{variable}")))
 
 
 def name_of(triples: DataFrame, variable: str, out: str, predicates: Sequence[str] = ("schema:label", "skos:prefLabel")) -> DataFrame:
@@ -131,14 +131,14 @@ def name_of(triples: DataFrame, variable: str, out: str, predicates: Sequence[st
 
 def catalogue(triples: DataFrame) -> DataFrame:
     """Q6. Distinct (product_label, hazard_label) of models, in order."""
-    both = bgp(scope_links(triples, "fsk:product", "product"), scope_links(triples, "fsk:hazard", "hazard"))
+    both = bgp(scope_links(triples, "meta:product", "product"), scope_links(triples, "meta:hazard", "hazard"))
     named = optional(both, name_of(triples, "product", "product_label"), name_of(triples, "hazard", "hazard_label"))
     return named.where("product_label is not null and hazard_label is not null").select("product", "product_label", "hazard", "hazard_label").distinct()
 
 
 def find_models(triples: DataFrame) -> DataFrame:
     """Q8. (product, hazard, model): for each pair the first model by iri that has an identifier."""
-    both = bgp(scope_links(triples, "fsk:product", "product"), scope_links(triples, "fsk:hazard", "hazard"), pattern(triples, "?model", "schema:identifier", "?identifier"))
+    both = bgp(scope_links(triples, "meta:product", "product"), scope_links(triples, "meta:hazard", "hazard"), pattern(triples, "?model", "schema:identifier", "?identifier"))
     return both.groupBy("product", "hazard").agg(F.min("model").alias("model"))
 
 
@@ -173,9 +173,9 @@ def without_containers(models: DataFrame) -> DataFrame:
 
 def parameters(triples: DataFrame, codes: Mapping[str, str]) -> DataFrame:
     """Q15/Q18. (model, param_id, name, unit, roles): parameters whose id doesn't end in a digit; roles are the set of classes by ``codes``."""
-    base = pattern(triples, "?model", "fsk:hasParameter", "?param")
+    base = pattern(triples, "?model", "meta:hasParameter", "?param")
     one = lambda p, v: pattern(triples, "?param", p, f"?{v}").groupBy("param").agg(F.min(v).alias(v))
-    full = optional(base, one("fsk:paramId", "own_id"), one("schema:name", "name"), one("fsk:unit", "unit"), pattern(triples, "?param", "fsk:classification", "?class"))
+    full = optional(base, one("meta:paramId", "own_id"), one("schema:name", "name"), one("meta:unit", "unit"), pattern(triples, "?param", "meta:classification", "?class"))
     code = F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))
     ident = F.coalesce("own_id", "name")
     role = F.coalesce(F.element_at(code, F.upper("class")), F.upper("class"))
@@ -185,7 +185,7 @@ def parameters(triples: DataFrame, codes: Mapping[str, str]) -> DataFrame:
 
 def connections(triples: DataFrame) -> DataFrame:
     """Q17. (source, target, name): models where a name is an output of one and an input of another."""
-    io = bgp(pattern(triples, "?model", "fsk:hasParameter", "?param"), pattern(triples, "?param", "fsk:classification", "?class"), pattern(triples, "?param", "schema:name", "?name"))
+    io = bgp(pattern(triples, "?model", "meta:hasParameter", "?param"), pattern(triples, "?param", "meta:classification", "?class"), pattern(triples, "?param", "schema:name", "?name"))
     out = io.where(F.upper("class") == "OUTPUT").select(F.col("model").alias("source"), F.lower("name").alias("name")).distinct()
     into = io.where(F.upper("class") == "INPUT").select(F.col("model").alias("target"), F.lower("name").alias("name")).distinct()
     return out.join(into, "name").where("source <> target")

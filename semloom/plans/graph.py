@@ -34,11 +34,11 @@ def triples(load) -> DataFrame:
     parts = [
         rows(index, F.col("iri"), "rdf:type", lit("skos:Concept"), "iri"), rows(index, F.col("iri"), "skos:prefLabel", F.col("label"), "literal", "en"),
         rows(index, F.col("iri"), "skos:inScheme", F.concat(lit("https://sem.example/scheme/"), "space"), "iri"), rows(named, F.col("iri"), "skos:altLabel", F.col("syn_norm"), "literal", "en"),
-        rows(models, model, "rdf:type", lit("fsk:Model"), "iri"), rows(models, model, "schema:identifier", F.col("model_id"), "literal"), rows(models, model, "schema:name", F.col("title"), "literal"),
-        rows(models.where(~direct), model, "fsk:hasScope", scope, "iri"),
-        *(rows(linked(i), F.when(direct, model).otherwise(scope), p, F.col("iri"), "iri") for i, p in ((0, "fsk:hazard"), (1, "fsk:product"))),
-        rows(params, model, "fsk:hasParameter", param, "iri"), rows(params, param, "fsk:paramId", F.col("id"), "literal"), rows(params, param, "schema:name", F.col("name"), "literal"),
-        rows(params, param, "fsk:unit", F.col("unittext"), "literal"), rows(params, param, "fsk:classification", F.col("classification"), "literal"),
+        rows(models, model, "rdf:type", lit("meta:Model"), "iri"), rows(models, model, "schema:identifier", F.col("model_id"), "literal"), rows(models, model, "schema:name", F.col("title"), "literal"),
+        rows(models.where(~direct), model, "meta:hasScope", scope, "iri"),
+        *(rows(linked(i), F.when(direct, model).otherwise(scope), p, F.col("iri"), "iri") for i, p in ((0, "meta:hazard"), (1, "meta:product"))),
+        rows(params, model, "meta:hasParameter", param, "iri"), rows(params, param, "meta:paramId", F.col("id"), "literal"), rows(params, param, "schema:name", F.col("name"), "literal"),
+        rows(params, param, "meta:unit", F.col("unittext"), "literal"), rows(params, param, "meta:classification", F.col("classification"), "literal"),
         *(rows(mapping.where(F.col(c) != ""), row, p, F.col(c), "iri") for c, p in (("uri1", "skos:exactMatch"), ("uri2", "skos:closeMatch"), ("uri3", "skos:broadMatch"))),
     ]
     return G.union(*parts)
@@ -51,23 +51,23 @@ select iri as s, 'rdf:type' as p, 'skos:Concept' as o from ontology_index
 union all select iri, 'skos:prefLabel', label from ontology_index
 union all select iri, 'skos:inScheme', 'https://sem.example/scheme/' || space from ontology_index
 union all select i.iri, 'skos:altLabel', y.syn_norm from ontology_synonym y join ontology_index i on y.canonical = i.label
-union all select 'model:' || model_id, 'rdf:type', 'fsk:Model' from models
+union all select 'model:' || model_id, 'rdf:type', 'meta:Model' from models
 union all select 'model:' || model_id, 'schema:identifier', model_id from models
 union all select 'model:' || model_id, 'schema:name', title from models where title is not null
-union all select 'model:' || model_id, 'fsk:hasScope', 'scope:' || model_id from half where not direct
-union all select case when direct then 'model:' else 'scope:' end || model_id, 'fsk:hazard', iri from half join lab on hz = label_norm where contains(title, ' / ')
-union all select case when direct then 'model:' else 'scope:' end || model_id, 'fsk:product', iri from half join lab on pr = label_norm where contains(title, ' / ')
-union all select 'model:' || model_id, 'fsk:hasParameter', 'param:' || param_key from model_parameter
-union all select 'param:' || param_key, 'fsk:paramId', id from model_parameter where id is not null
+union all select 'model:' || model_id, 'meta:hasScope', 'scope:' || model_id from half where not direct
+union all select case when direct then 'model:' else 'scope:' end || model_id, 'meta:hazard', iri from half join lab on hz = label_norm where contains(title, ' / ')
+union all select case when direct then 'model:' else 'scope:' end || model_id, 'meta:product', iri from half join lab on pr = label_norm where contains(title, ' / ')
+union all select 'model:' || model_id, 'meta:hasParameter', 'param:' || param_key from model_parameter
+union all select 'param:' || param_key, 'meta:paramId', id from model_parameter where id is not null
 union all select 'param:' || param_key, 'schema:name', name from model_parameter where name is not null
-union all select 'param:' || param_key, 'fsk:unit', unittext from model_parameter where unittext is not null
-union all select 'param:' || param_key, 'fsk:classification', classification from model_parameter where classification is not null
+union all select 'param:' || param_key, 'meta:unit', unittext from model_parameter where unittext is not null
+union all select 'param:' || param_key, 'meta:classification', classification from model_parameter where classification is not null
 union all select 'map:' || row_id, 'skos:exactMatch', uri1 from master_mapping where uri1 <> ''
 union all select 'map:' || row_id, 'skos:closeMatch', uri2 from master_mapping where uri2 <> ''
 union all select 'map:' || row_id, 'skos:broadMatch', uri3 from master_mapping where uri3 <> ''),
-link as (select m.s as model, t.p, t.o from triples m join triples t on t.s = m.o where m.p = 'fsk:hasScope' and t.p in ('fsk:hazard', 'fsk:product')
-  union all select t.s, t.p, t.o from triples t join triples m on m.s = t.s and m.p = 'rdf:type' and m.o = 'fsk:Model' where t.p in ('fsk:hazard', 'fsk:product')),
-pair as (select a.model, a.o as product, b.o as hazard from link a join link b on a.model = b.model where a.p = 'fsk:product' and b.p = 'fsk:hazard')
+link as (select m.s as model, t.p, t.o from triples m join triples t on t.s = m.o where m.p = 'meta:hasScope' and t.p in ('meta:hazard', 'meta:product')
+  union all select t.s, t.p, t.o from triples t join triples m on m.s = t.s and m.p = 'rdf:type' and m.o = 'meta:Model' where t.p in ('meta:hazard', 'meta:product')),
+pair as (select a.model, a.o as product, b.o as hazard from link a join link b on a.model = b.model where a.p = 'meta:product' and b.p = 'meta:hazard')
 """
 
 
@@ -110,11 +110,11 @@ def q8_find_models(load):
     return G.find_models(triples(load))
 
 
-@query(T + "select a.s as model, a.o as param, n.o as name, u.o as unit from triples a join triples n on n.s = a.o and n.p = 'schema:name' join triples u on u.s = a.o and u.p = 'fsk:unit' where a.p = 'fsk:hasParameter'")
+@query(T + "select a.s as model, a.o as param, n.o as name, u.o as unit from triples a join triples n on n.s = a.o and n.p = 'schema:name' join triples u on u.s = a.o and u.p = 'meta:unit' where a.p = 'meta:hasParameter'")
 def q9_inputs(load):
     """Q9. Names and units of the parameters of every model: three patterns."""
     t = triples(load)
-    return G.bgp(G.pattern(t, "?model", "fsk:hasParameter", "?param"), G.pattern(t, "?param", "schema:name", "?name"), G.pattern(t, "?param", "fsk:unit", "?unit")).select("model", "param", "name", "unit")
+    return G.bgp(G.pattern(t, "?model", "meta:hasParameter", "?param"), G.pattern(t, "?param", "schema:name", "?name"), G.pattern(t, "?param", "meta:unit", "?unit")).select("model", "param", "name", "unit")
 
 
 @query("""select param_key, coalesce(r.symbol, case when regexp_matches(unittext, '[/#]') then nullif(string_split(string_split(unittext, '/')[-1], '#')[-1], '') end, 'unknown unit') as unit_name from model_parameter m left join (select iri, min(symbol) as symbol from unit_reference group by 1) r on m.unittext = r.iri""")
@@ -123,43 +123,43 @@ def q10_unit_symbols(load):
     return G.unit_symbols(units, load("unit_reference").select("iri", "symbol")).select("param_key", "unit_name")
 
 
-@query(T + "select min(s) as model from triples where p = 'fsk:hasParameter'")
+@query(T + "select min(s) as model from triples where p = 'meta:hasParameter'")
 def q12_main_model(load):
     """Q12. No composite model here, so the first model with parameters."""
-    return G.main_model(triples(load), "fsk:CompositeModel", "fsk:hasParameter")
+    return G.main_model(triples(load), "meta:CompositeModel", "meta:hasParameter")
 
 
-@query(T + """select m.s as model, coalesce(n.o, i.o, m.s) as name from (select distinct s from triples where p = 'fsk:hasParameter') m left join triples n on n.s = m.s and n.p = 'schema:name' left join triples i on i.s = m.s and i.p = 'schema:identifier'""")
+@query(T + """select m.s as model, coalesce(n.o, i.o, m.s) as name from (select distinct s from triples where p = 'meta:hasParameter') m left join triples n on n.s = m.s and n.p = 'schema:name' left join triples i on i.s = m.s and i.p = 'schema:identifier'""")
 def q13_models_named(load):
     t = triples(load)
-    models = G.pattern(t, "?model", "fsk:hasParameter", "?x").select("model").distinct()
+    models = G.pattern(t, "?model", "meta:hasParameter", "?x").select("model").distinct()
     full = G.optional(models, G.pattern(t, "?model", "schema:name", "?n"), G.pattern(t, "?model", "schema:identifier", "?i"))
     return full.select("model", F.coalesce("n", "i", "model").alias("name"))
 
 
-@query(T + """, n as (select s as model, o as name from triples where p = 'schema:name' and s in (select s from triples where o = 'fsk:Model')),
+@query(T + """, n as (select s as model, o as name from triples where p = 'schema:name' and s in (select s from triples where o = 'meta:Model')),
 k as (select * from n where not exists (select 1 from n b where b.name <> n.name and b.name <> '' and contains(n.name, b.name)))
 select * from k union all select * from n where (select count(*) from k) = 0""")
 def q14_without_containers(load):
     t = triples(load)
-    models = G.bgp(G.pattern(t, "?model", "rdf:type", "fsk:Model"), G.pattern(t, "?model", "schema:name", "?name"))
+    models = G.bgp(G.pattern(t, "?model", "rdf:type", "meta:Model"), G.pattern(t, "?model", "schema:name", "?name"))
     return G.without_containers(models).select("model", "name")
 
 
 @query(T + """, f as (select a.s as model, coalesce(i.o, n.o) as param_id, n.o as name, u.o as unit, case upper(c.o) when 'HTTP://FSKX.EXAMPLE/FSKX_17481' then 'INPUT' else upper(c.o) end as role
-  from triples a left join triples i on i.s = a.o and i.p = 'fsk:paramId' left join triples n on n.s = a.o and n.p = 'schema:name' left join triples u on u.s = a.o and u.p = 'fsk:unit' left join triples c on c.s = a.o and c.p = 'fsk:classification' where a.p = 'fsk:hasParameter')
+  from triples a left join triples i on i.s = a.o and i.p = 'meta:paramId' left join triples n on n.s = a.o and n.p = 'schema:name' left join triples u on u.s = a.o and u.p = 'meta:unit' left join triples c on c.s = a.o and c.p = 'meta:classification' where a.p = 'meta:hasParameter')
 select model, param_id, min(name) as name, min(unit) as unit, coalesce(array_to_string(list_sort(list_distinct(list(role) filter (role is not null))), ','), '') as roles from f where param_id is not null and not regexp_matches(param_id, '[0-9]$') group by 1, 2""")
 def q15_parameters(load):
     """Q15/Q18."""
     return G.parameters(triples(load), CODES).withColumn("roles", F.array_join("roles", ","))
 
 
-@query(T + "select distinct p, o from triples where p in ('fsk:hazard', 'fsk:product')")
+@query(T + "select distinct p, o from triples where p in ('meta:hazard', 'meta:product')")
 def q16_scope(load):
-    return triples(load).where(F.col("p").isin("fsk:hazard", "fsk:product")).select("p", "o").distinct()
+    return triples(load).where(F.col("p").isin("meta:hazard", "meta:product")).select("p", "o").distinct()
 
 
-_IO = """, io as (select distinct a.s as model, lower(n.o) as name, upper(c.o) as class from triples a join triples n on n.s = a.o and n.p = 'schema:name' join triples c on c.s = a.o and c.p = 'fsk:classification' where a.p = 'fsk:hasParameter'),
+_IO = """, io as (select distinct a.s as model, lower(n.o) as name, upper(c.o) as class from triples a join triples n on n.s = a.o and n.p = 'schema:name' join triples c on c.s = a.o and c.p = 'meta:classification' where a.p = 'meta:hasParameter'),
 e as (select a.model as source, b.model as target, a.name from io a join io b on a.name = b.name and a.class = 'OUTPUT' and b.class = 'INPUT' and a.model <> b.model)
 """
 
@@ -226,7 +226,7 @@ def j11_cascade(load):
     """J11 over Q17: the order in which models feed each other; models on cycles come last."""
     t = triples(load)
     shared_folder(t.sparkSession)
-    return G.topological_levels(G.connections(t).select("source", "target"), G.pattern(t, "?node", "rdf:type", "fsk:Model"))
+    return G.topological_levels(G.connections(t).select("source", "target"), G.pattern(t, "?node", "rdf:type", "meta:Model"))
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -106,7 +106,7 @@ def mt4_infer(load):
 @query("""with q as (select distinct name as text, list_distinct(list_filter(string_split_regex(translate(lower(name), '_-()[]/,.', '         '), '\\s+'), lambda x: length(x) > 2)) as w from model_parameter where regexp_full_match(name, '[\\x20-\\x7f]*')),
 c as (select label as display, concept_id as ord, list_distinct(list_filter(string_split_regex(translate(lower(label), '_-()[]/,.', '         '), '\\s+'), lambda x: length(x) > 2)) as v from ontology_index where space = 'property'),
 qw as (select text, unnest(w) as a from q), cv as (select display, ord, unnest(v) as b from c),
-s as (select text, display, ord, round(sum(case when a = b then 1.0 else 0.8 end), 6) as score from qw join cv on contains(a, b) or contains(b, a) group by 1, 2, 3)
+s as (select text, display, ord, round(sum(case when a = b then 1.0e0 else 0.8e0 end), 6) as score from qw join cv on contains(a, b) or contains(b, a) group by 1, 2, 3)
 select text, display, score from s qualify row_number() over (partition by text order by score desc, ord, display desc) = 1""")
 def x8_keyword_match(load):
     """X8 as a matcher: every ASCII parameter name against the properties of the reference list."""

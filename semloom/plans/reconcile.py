@@ -166,7 +166,7 @@ def x7_jaccard_pairs(load):
 @query("""with k as (select row_id, list_distinct(list_filter(string_split_regex(translate(lower(term), '_-()[]/,.', '         '), '\\s+'), lambda x: length(x) > 2)) as t,
   list_distinct(list_filter(string_split_regex(translate(lower(altlabels), '_-()[]/,.', '         '), '\\s+'), lambda x: length(x) > 2)) as u
   from master_mapping where regexp_full_match(coalesce(term, '') || coalesce(altlabels, ''), '[\\x00-\\x7f]*') and term is not null and altlabels is not null)
-select row_id, round(coalesce((select sum(case when x = y then 1.0 when contains(y, x) or contains(x, y) then 0.8 else 0 end) from (select unnest(t) as x), (select unnest(u) as y)), 0), 6) as score from k""")
+select row_id, round(coalesce((select sum(case when x = y then 1.0e0 when contains(y, x) or contains(x, y) then 0.8e0 else 0e0 end) from (select unnest(t) as x), (select unnest(u) as y)), 0e0), 6) as score from k""")
 def x8_keyword_overlap(load):
     """X8. Keyword overlap of each mapping's term with its alternative labels."""
     m = load("master_mapping").where("term is not null and altlabels is not null").where(F.concat("term", "altlabels").rlike(ASCII))

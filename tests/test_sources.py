@@ -101,13 +101,13 @@ SBML = '<sbml xmlns="http://www.sbml.org/sbml/level3/version1/core" xmlns:comp="
 
 
 def test_archive(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.fskx", "w") as z:
+    with zipfile.ZipFile(tmp_path / "a.omex", "w") as z:
         z.writestr("manifest.xml", '<o:omexManifest xmlns:o="x"><o:content location="./a/model.sbml"/><o:content location="./a/metaData.json"/></o:omexManifest>')
         z.writestr("a/model.sbml", SBML)
         z.writestr("a/metaData.json", json.dumps({"modelMath": {"parameter": [{"id": "p1"}, {"id": "p1"}, {"id": "p2"}]}}))
         z.writestr("b/metaData.json", json.dumps({"modelMath": {"parameter": {"id": "p3"}}}))
         z.writestr("c/metaData.json", "{broken")
-    (tmp_path / "bad.fskx").write_text("no archive")
+    (tmp_path / "bad.omex").write_text("no archive")
     m = files.archive_members(spark, str(tmp_path)).cache()
     assert m.where("error is not null").count() == 1 and m.where("member is not null").count() == 5
     assert {r["param_id"] for r in files.metadata_parameters(m.where("member is not null")).collect()} == {"p1", "p2", "p3"}
