@@ -111,7 +111,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def keyword_tokens(c: Column) -> Column:
     """Set of the words longer than two letters, nine marks taken as blanks."""
-    return F.array_distinct(F.filter(F.split(F.translate(F.lower(c), "_-()[]/,.", "         "), r"\s+"), lambda t: F.length(t) > 2))
+    return F.array_distinct(F.filter(F.split(F.translate(F.lower(c), "_-()[]/,.", "         "), WHITE + "+"), lambda t: F.length(t) > 2))
 
 
 def keyword_overlap(a: Column, b: Column) -> Column:

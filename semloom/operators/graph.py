@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semloom.functions.text import local_name
+from semloom.functions.text import local_name, strip
 
 SCHEMA = "s string, p string, o string, o_kind string, o_lang string"
 
@@ -99,7 +99,7 @@ def search_labels(triples: DataFrame, terms: DataFrame, types: Sequence[str], la
     """
     kept = pattern(triples, "?s", labels, "?label").join(pattern(triples, "?s", "rdf:type", "?__t").where(F.col("__t").isin(*types)).select("s").distinct(), "s", "left_semi").distinct()
     kept = kept.withColumn("__l", F.lower("label"))
-    asked = terms.select("term").distinct().where("trim(term) <> ''").withColumn("__q", F.lower(F.trim("term")))
+    asked = terms.select("term").distinct().where(strip(F.col("term")) != "").withColumn("__q", F.lower(strip(F.col("term"))))
     grams = F.transform(F.sequence(F.lit(1), F.length("__l") - (piece - 1)), lambda i: F.substring("__l", i, F.lit(piece)))
     long_ = asked.where(F.length("__q") >= piece).withColumn("__g", F.substring("__q", 1, piece))
     found = kept.where(F.length("__l") >= piece).withColumn("__g", F.explode(F.array_distinct(grams))).join(long_, "__g").drop("__g")

@@ -10,7 +10,6 @@ from semloom.plans.query import Queries
 from semloom.session import shared_folder
 
 query = Queries()
-ASCII = r"^[\x00-\x7f]*$"
 #: Codes that stand for classes of parameters.
 CODES = {"HTTP://FSKX.EXAMPLE/FSKX_17481": "INPUT"}
 
@@ -83,8 +82,7 @@ sch as (select s, min(o) as scheme from triples where p = 'skos:inScheme' group
 select term, s, label, scheme, cast(row_number() over (partition by term order by label, s) as integer) as rank from q join l on contains(lower(label), lower(trim(term, ' '))) left join sch using (s) qualify rank <= 10""")
 def q1_concept_search(load):
     """Q1/Q4. Concepts whose preferred or alternative label holds a term of the matching table, ten per term."""
-    terms = load("matching_table_for_reconciliation").where(F.col("term").rlike(r"^[\x20-\x7f]*$")).select("term")
-    return G.search_labels(triples(load), terms, ["skos:Concept"], ["skos:prefLabel", "skos:altLabel"], {"scheme": "skos:inScheme"}, 10)
+    return G.search_labels(triples(load), load("matching_table_for_reconciliation").select("term"), ["skos:Concept"], ["skos:prefLabel", "skos:altLabel"], {"scheme": "skos:inScheme"}, 10)
 
 
 @query(T + r"""select s, min(o) as label, count(*) as n from triples where p in ('skos:prefLabel', 'skos:altLabel') and regexp_matches(lower(o), '(powder|vibrio)') group by s""")
@@ -166,8 +164,8 @@ e as (select a.model as source, b.model as target, a.name from io a join io b on
 
 @query(T + _IO.replace("lower(n.o) as name", "lower(n.o) as name, n.o as raw") + "select distinct source, target, name from e where regexp_full_match(name, '[\\x00-\\x7f]*')")
 def q17_connections(load):
-    """Q17, over ASCII names (lower case of other letters differs between engines)."""
-    return G.connections(triples(load)).where(F.col("name").rlike(ASCII)).select("source", "target", "name").distinct()
+    """Q17."""
+    return G.connections(triples(load)).select("source", "target", "name").distinct()
 
 
 @query(T + """, u as (select distinct uri from suggestion where uri is not null)
@@ -180,7 +178,7 @@ def q20_match_by_uri(load):
 @query(T + r""", v as (select distinct term as text from master_mapping where regexp_full_match(term, '[\x00-\x7f]*'))
 select distinct text, s as concept from v join triples on p in ('skos:prefLabel', 'skos:altLabel') and lower(o) = lower(text)""")
 def q21_match_by_label(load):
-    return G.match_by_label(triples(load), load("master_mapping").where(F.col("term").rlike(ASCII)).select(F.col("term").alias("text")))
+    return G.match_by_label(triples(load), load("master_mapping").select(F.col("term").alias("text")))
 
 
 @query(T + """, n as (select s, arg_min(o, (case p when 'skos:prefLabel' then 0 else 1 end, o)) as name from triples where p in ('skos:prefLabel', 'rdfs:label') group by s),

@@ -9,7 +9,6 @@ from semloom.operators import cascade, inference, nested
 from semloom.plans.query import Queries
 
 query = Queries()
-ASCII = r"^[\x20-\x7f]*$"
 
 
 def documents(load) -> DataFrame:
@@ -109,8 +108,8 @@ qw as (select text, unnest(w) as a from q), cv as (select display, ord, unnest(v
 s as (select text, display, ord, round(sum(case when a = b then 1.0e0 else 0.8e0 end), 6) as score from qw join cv on contains(a, b) or contains(b, a) group by 1, 2, 3)
 select text, display, score from s qualify row_number() over (partition by text order by score desc, ord, display desc) = 1""")
 def x8_keyword_match(load):
-    """X8 as a matcher: every ASCII parameter name against the properties of the reference list."""
-    names = load("model_parameter").where(F.col("name").rlike(ASCII)).select(F.col("name").alias("text"))
+    """X8 as a matcher: every parameter name against the properties of the reference list."""
+    names = load("model_parameter").where("name is not null").select(F.col("name").alias("text"))
     c = load("ontology_index").where("space = 'property'").select(F.col("label").alias("display"), F.col("concept_id").alias("ord"), F.col("label").alias("term"), F.lit(None).cast("string").alias("alts"))
     return inference.match_keywords(names, c)
 

@@ -9,7 +9,7 @@ from semloom.operators import cascade, reconcile
 from semloom.plans.query import Queries
 
 query = Queries()
-# Spark and DuckDB differ in the unit of edit distance beyond ASCII, so these run over ASCII terms and labels where SQL checks them.
+# Spark and DuckDB differ in the unit of edit distance beyond ASCII. The SQL of edit distances and the like holds to ASCII; the queries run over every row.
 ASCII = r"^[\x00-\x7f]*$"
 _SQL_LEV = """case when greatest(length(lower({a})), length(lower({b}))) = 0 then 1.0 else 1.0e0 - cast(levenshtein(lower({a}), lower({b})) as double)
   / cast(greatest(length(lower({a})), length(lower({b}))) as double) end"""
@@ -45,8 +45,7 @@ s as (select s.term_id, s.suggestion_id, s.label, s.uri, s.provider_ord, s.api_r
 
 def _scored(load):
     terms = load("matching_table_for_reconciliation").where(reconcile.is_pending(F.col("uri"))).withColumn("term", T.strip(F.col("term")))
-    sugg = reconcile.well_formed(load("suggestion")).where(F.col("label").rlike(ASCII))
-    return reconcile.scored(terms.where(F.col("term").rlike(ASCII)), sugg)
+    return reconcile.scored(terms, reconcile.well_formed(load("suggestion")))
 
 
 @query(_TOP + """select term_id, suggestion_id, lev as score, cast(row_number() over (partition by term_id order by lev desc, provider_ord, api_rank, suggestion_id) as integer) as rank
@@ -78,8 +77,7 @@ select m.term_id, case when coalesce(m.uri, '') not in ('', 'No Match') then m.u
 from matching_table_for_reconciliation m left join b using (term_id) where regexp_full_match(coalesce(""" + _strip("m.term") + """, ''), '[\\x00-\\x7f]*')""")
 def t3_best_match(load):
     """T3/T4. Every term with its best match or 'No Match' (the flagship)."""
-    terms = load("matching_table_for_reconciliation").where(F.coalesce(T.strip(F.col("term")), F.lit("")).rlike(ASCII))
-    out = reconcile.best_match(terms, load("suggestion").where(F.col("label").rlike(ASCII)))
+    out = reconcile.best_match(load("matching_table_for_reconciliation"), load("suggestion"))
     return out.select("term_id", "uri", "provider_term", "match_type")
 
 
@@ -169,7 +167,7 @@ def x7_jaccard_pairs(load):
 select row_id, round(coalesce((select sum(case when x = y then 1.0e0 when contains(y, x) or contains(x, y) then 0.8e0 else 0e0 end) from (select unnest(t) as x), (select unnest(u) as y)), 0e0), 6) as score from k""")
 def x8_keyword_overlap(load):
     """X8. Keyword overlap of each mapping's term with its alternative labels."""
-    m = load("master_mapping").where("term is not null and altlabels is not null").where(F.concat("term", "altlabels").rlike(ASCII))
+    m = load("master_mapping").where("term is not null and altlabels is not null")
     return m.select("row_id", F.round(T.keyword_overlap(T.keyword_tokens(F.col("term")), T.keyword_tokens(F.col("altlabels"))), 6).alias("score"))
 
 
@@ -188,8 +186,7 @@ def x12_iri_parts(load):
 
 @query("""select row_id, case when trim(coalesce(altlabels, '')) <> '' then term || ' (' || altlabels || ')' else term end as display from master_mapping where regexp_full_match(coalesce(altlabels, ''), '[\\x00-\\x7f]*')""")
 def x16_display_label(load):
-    m = load("master_mapping").where(F.coalesce("altlabels", F.lit("")).rlike(ASCII))
-    return m.select("row_id", T.display_label(F.col("term"), F.col("altlabels")).alias("display"))
+    return load("master_mapping").select("row_id", T.display_label(F.col("term"), F.col("altlabels")).alias("display"))
 
 
 @query("""select suggestion_id, concat_ws(' ', coalesce(label, 'N/A'), case when coalesce(source_provider, '') <> '' then '[' || source_provider || ']' end, case when score is not null and not isnan(score) then '[Lev: ' || printf('%.2f', score) || ']' end,
@@ -264,8 +261,7 @@ def x2_cosine(load):
 select suggestion_id, round(c * 0.5 + c * 0.2 + lev * 0.3, 9) as score from s""")
 def x2_hybrid(load):
     """X2. Weighted sum of two cosines (here the provider's score stands for both) and the edit similarity."""
-    terms = load("matching_table_for_reconciliation").where(T.strip(F.col("term")).rlike(ASCII))
-    s = reconcile.scored(terms, load("suggestion").where(F.col("label").rlike(ASCII)))
+    s = reconcile.scored(load("matching_table_for_reconciliation"), load("suggestion").where("label is not null"))
     c = F.when(F.isnan("score") | F.col("score").isNull(), 0.0).otherwise(F.col("score"))
     return s.select("suggestion_id", F.round(T.hybrid_score(c, c, F.col("levenshtein_score")), 9).alias("score"))
 
@@ -294,9 +290,8 @@ def _values(load, field: str):
 
 @query(_MT1)
 def mt1_cascade(load):
-    """MT1, passes 1 to 5, for every ASCII parameter name."""
-    q = _values(load, "hazard").where(F.col("text").rlike(ASCII))
-    out = cascade.match_ontology(q, load("ontology_index"), load("ontology_synonym"), near=False)
+    """MT1, passes 1 to 5, for every parameter name."""
+    out = cascade.match_ontology(_values(load, "hazard"), load("ontology_index"), load("ontology_synonym"), near=False)
     return out.withColumns({"pass": F.col("pass").cast("int"), "score": F.round("score", 9)})
 
 
