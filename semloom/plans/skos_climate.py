@@ -50,7 +50,7 @@ def a13_common_prefix(load):
 
 
 def _wide(load) -> DataFrame:
-    m = load("master_mapping").where(F.concat_ws("", "term", "altlabels", "conceptgroup").rlike(ASCII))
+    m = load("master_mapping")
     empty = F.array().cast("array<string>")
     return m.select("row_id", "term", F.col("altlabels").alias("alt_label"), F.col("conceptgroup").alias("concept_group"), F.when(F.coalesce("providerterm1", F.lit("")) != "", F.array("providerterm1")).otherwise(empty).alias("definitions"), empty.alias("sources"))
 
