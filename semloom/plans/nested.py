@@ -123,11 +123,18 @@ def x9_unit_match(load):
 
 @query()
 def mt5_wire(load):
-    """X11/MT5/J16. Among the suggestions of each term the one whose texts fit best, as mapping nodes."""
-    s = load("suggestion").where("provider = 'olx' and uri <> ''").join(load("matching_table_for_reconciliation").select("term_id", "term"), "term_id")
-    pairs = s.groupBy("term_id", "uri").agg(F.first("term").alias("term"), F.min("suggestion_id").alias("ord"), F.min("label").alias("label"))
-    best = inference.disambiguate(pairs, "term_id", "uri", F.array("term"), F.array("label"), "ord")
-    wired = best.select(F.concat(F.lit("term:"), "term_id").alias("model"), F.concat(F.lit("param:"), "term_id").alias("parameter"), F.col("uri").alias("source"), F.col("score").cast("string").alias("variable"))
+    """X11/MT5/J16. Among the suggestions of each term the one whose texts fit best, as mapping nodes.
+
+    A candidate is a uri; its texts are all labels its suggestions give, its last part as the variable's name, and its id.
+    Search texts are the term with the alternative labels and the provider's term of its first mapping.
+    """
+    m = load("master_mapping").where("term is not null").groupBy("term").agg(F.min(F.struct("row_id", "altlabels", "providerterm1")).alias("m"))
+    terms = load("matching_table_for_reconciliation").select("term_id", "term", "provider_term").join(m, "term", "left")
+    name = F.substring_index("uri", "/", -1)
+    pairs = load("suggestion").where("uri <> ''").groupBy("term_id", "uri").agg(F.min("suggestion_id").alias("ord"), F.array_sort(F.collect_set("label")).alias("labels"), F.min(F.nullif("id", F.lit(""))).alias("id"))
+    search = F.array("term", "m.altlabels", F.coalesce(F.nullif("provider_term", F.lit("")), "m.providerterm1"))
+    best = inference.disambiguate(pairs.join(terms, "term_id"), "term_id", "uri", search, F.concat("labels", F.array(name, F.coalesce("id", name))), "ord")
+    wired = best.select(F.concat(F.lit("term:"), "term_id").alias("model"), F.concat(F.lit("param:"), "term_id").alias("parameter"), F.col("uri").alias("source"), name.alias("variable"))
     return inference.input_mappings(wired, "https://sem.example/linking/")
 
 
