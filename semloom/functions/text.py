@@ -155,12 +155,30 @@ def display_label(term: Column, alt: Column) -> Column:
     return F.when(F.trim(F.coalesce(alt, F.lit(""))) != "", F.concat(term, F.lit(" ("), alt, F.lit(")"))).otherwise(term)
 
 
+def hundredths(c: Column) -> Column:
+    """A number with two decimals, rounded as C and Python do: by its exact binary value, exact ties to the even hundredth.
+
+    The JVM rounds the shortest decimal form instead. ``200 x`` is odd for
+    numbers half way; whether rounding made it so shows the sum of two products
+    that are exact, as the parts of x have 24 and 29 bits.
+    """
+    x = F.abs(c.cast("double"))
+    twice = F.floor(x * 200)
+    high = x.cast("float").cast("double")
+    over = (high * 200 - twice) + (x - high) * 200
+    down = F.floor(twice / 2)
+    tie = F.when(over > 0, down + 1).when(over < 0, down).otherwise(down + F.pmod(down, F.lit(2)))
+    n = F.when((x * 200 == twice) & (F.pmod(twice, F.lit(2)) == 1), tie).otherwise(F.floor((twice + 1) / 2))
+    sign = F.when(F.format_string("%f", c.cast("double")).startswith("-"), "-").otherwise("")
+    return F.when(x < 1e9, F.concat(sign, F.format_string("%d.%02d", F.floor(n / 100), F.pmod(n, F.lit(100))))).otherwise(F.format_string("%.2f", c.cast("double")))
+
+
 def suggestion_display(label: Column, source: Column, lev: Column, description: Column, uri: Column) -> Column:
     """X17. ``label [source] [Lev: 0.87] (description...) <uri>``; parts that are null or empty are left out."""
     cut = F.when(F.length(description) > 100, F.concat(F.substring(description, 1, 100), F.lit("..."))).otherwise(description)
     some = lambda c, shown: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", shown)
     return F.concat_ws(
-        " ", F.coalesce(label, F.lit("N/A")), some(source, F.concat(F.lit("["), source, F.lit("]"))), some(lev, F.concat(F.lit("[Lev: "), F.format_string("%.2f", lev), F.lit("]"))),
+        " ", F.coalesce(label, F.lit("N/A")), some(source, F.concat(F.lit("["), source, F.lit("]"))), some(lev, F.concat(F.lit("[Lev: "), hundredths(lev), F.lit("]"))),
         some(description, F.concat(F.lit("("), cut, F.lit(")"))), F.concat(F.lit("<"), F.coalesce(F.nullif(uri, F.lit("")), F.lit("No URI")), F.lit(">")),
     )
 

@@ -193,9 +193,8 @@ def x16_display_label(load):
   case when coalesce(description, '') <> '' then '(' || case when length(description) > 100 then substr(description, 1, 100) || '...' else description end || ')' end, '<' || coalesce(nullif(uri, ''), 'No URI') || '>') as display
 from suggestion where score is null or isnan(score) or abs(score * 100 - floor(score * 100) - 0.5) > 0.01""")
 def x17_suggestion_display(load):
-    """X17, over rows whose score isn't half way between two hundredths (engines round these differently)."""
-    half = F.abs(F.col("score") * 100 - F.floor(F.col("score") * 100) - 0.5) > 0.01
-    s = load("suggestion").where(F.col("score").isNull() | F.isnan("score") | half)
+    """X17. The SQL leaves out scores about half way between two hundredths."""
+    s = load("suggestion")
     score = F.when(~F.isnan("score"), F.col("score"))
     return s.select("suggestion_id", T.suggestion_display(F.col("label"), F.col("source_provider"), score, F.col("description"), F.col("uri")).alias("display"))
 
