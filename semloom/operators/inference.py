@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.functions.text import comma_list, keyword_tokens, sequence_ratio, strip
+from semloom.operators.graph import removed
 
 # What stands for no dimension, the threshold of units, and the points of the disambiguation.
 DIMENSIONLESS = ("dimensionless", "unitless", "1")
@@ -102,3 +103,41 @@ def input_mappings(wired: DataFrame, base: str) -> DataFrame:
         t(node, base + "isFulfilledBy", F.col("source"), "iri"), t(node, base + "sourceVariableName", F.col("variable"), "literal"),
     )
     return wired.select(F.inline(rows)).distinct()
+
+
+def parameter_mappings(inputs: DataFrame, outputs: DataFrame, base: str) -> DataFrame:
+    """J16. Triples (s, p, o, o_kind) of chosen concepts and units: (model, parameter, uris array, unit uri) of input and of output parameters.
+
+    Every uri is an exact match of the parameter. An input has its preferred unit; an output with a concept or
+    unit has a mapping node with its first uri as observed property, and its unit.
+    """
+    node = F.concat(F.lit("b"), F.substring(F.md5(F.concat_ws("|", F.lit("output"), "model", "parameter")), 1, 16))
+    t = lambda s, p, o, kind="iri": F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+    uris = F.filter(F.transform(F.coalesce("uris", F.array().cast("array<string>")), strip), lambda u: u.isNotNull() & ~F.lower(u).isin("", "nan"))
+    parameter, unit = F.col("parameter"), F.nullif("unit", F.lit(""))
+    same = lambda df: df.select("model", "parameter", unit.alias("unit"), uris.alias("uris"))
+    exact = F.transform("uris", lambda u: t(parameter, "skos:exactMatch", u))
+    put_in = F.concat(exact, F.array(t(parameter, base + "preferredInputUnit", F.col("unit"))))
+    own = F.array(
+        t(F.col("model"), base + "hasOutputMapping", node, "bnode"), t(node, "rdf:type", F.lit(base + "OutputMapping")), t(node, base + "mapsParameter", parameter),
+        t(node, base + "producesObservedProperty", F.get("uris", F.lit(0))), t(node, base + "hasOutputUnit", F.col("unit")),
+    )
+    chosen = same(outputs).where((F.size("uris") > 0) | F.col("unit").isNotNull())
+    return same(inputs).select(F.inline(put_in)).unionByName(chosen.select(F.inline(F.concat(exact, own)))).where("o is not null").distinct()
+
+
+def applied(triples: DataFrame, parameters: DataFrame, scope: DataFrame, added: DataFrame, base: str, hazard: str = "meta:hazard", product: str = "meta:product") -> DataFrame:
+    """J16. The triples (s, p, o, o_kind and others) after the mappings of some models are replaced.
+
+    ``parameters``: (model, parameter, side), all of these models with side 'i' or 'o'; ``scope``: (model, kind, uri) with kind
+    'hazard' or 'product'; ``added``: triples of ``parameter_mappings`` and ``input_mappings``. Hazards, products, input and
+    output mapping nodes of the models go, and the exact matches and preferred units of the parameters; doing it again changes nothing.
+    """
+    models, none = parameters.select("model").union(scope.select("model")).distinct(), F.lit(None).cast("string").alias("o")
+    links = [base + "hasInputMapping", base + "hasOutputMapping"]
+    gone = lambda df, s, *ps: df.select(F.col(s).alias("s"), F.explode(F.array(*map(F.lit, ps))).alias("p"), none)
+    nodes = triples.where(F.col("p").isin(*links)).join(models, F.col("s") == F.col("model"), "left_semi").select(F.col("o").alias("s"))
+    units = gone(parameters.where("side = 'i'"), "parameter", base + "preferredInputUnit", base + "expectsQuantityKind")
+    old = gone(models, "model", hazard, product, *links).unionByName(gone(parameters, "parameter", "skos:exactMatch")).unionByName(units)
+    new = scope.select(F.col("model").alias("s"), F.when(F.col("kind") == "hazard", hazard).otherwise(product).alias("p"), F.col("uri").alias("o"), F.lit("iri").alias("o_kind")).unionByName(added)
+    return removed(triples.join(nodes, "s", "left_anti"), old.distinct()).unionByName(new, allowMissingColumns=True).distinct()

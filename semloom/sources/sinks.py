@@ -1,7 +1,8 @@
-"""Sinks: delimited text, JSON, N-Triples, N-Quads, Turtle, TriG (K1, K3-K6, J17)."""
+"""Sinks: delimited text, JSON, N-Triples, N-Quads, Turtle, RDF/XML, JSON-LD (K1, K3-K6, J17)."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -74,3 +75,39 @@ def rdf_xml(triples: DataFrame) -> DataFrame:
     body = F.when(F.col("o_kind") == "literal", F.concat(open_, lang, F.lit(">"), safe(F.col("o")), F.lit("</x:"), name, F.lit(">"))).when(F.col("o_kind") == "bnode", F.concat(open_, F.lit(' rdf:nodeID="'), safe(F.regexp_replace("o", "^_:", "")), F.lit('"/>'))).otherwise(F.concat(open_, F.lit(' rdf:resource="'), safe(F.col("o")), F.lit('"/>')))
     about = F.when(F.col("s").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(F.lit('rdf:about="'), safe(F.col("s")), F.lit('"'))).otherwise(F.concat(F.lit('rdf:nodeID="'), safe(F.col("s")), F.lit('"')))
     return triples.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set(body)), "").alias("b")).select(F.concat(F.lit("<rdf:Description "), about, F.lit(">"), "b", F.lit("</rdf:Description>")).alias("value"))
+
+
+def jsonld(triples: DataFrame) -> DataFrame:
+    """K4. (s, value): one indented node object per subject, in expanded form."""
+    plain = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    is_type = F.col("p").isin("rdf:type", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type")
+    dtype = F.nullif("o_dtype", F.lit("")) if "o_dtype" in triples.columns else F.lit(None).cast("string")
+    literal = F.to_json(F.struct(F.col("o").alias("@value"), F.nullif("o_lang", F.lit("")).alias("@language"), dtype.alias("@type")))
+    blank = lambda c: F.concat(F.lit("_:"), F.regexp_replace(c, "^_:", ""))
+    node = F.when(F.col("o_kind") == "bnode", blank(F.col("o"))).otherwise(F.col("o"))
+    obj = F.when(is_type, plain(node)).when(F.col("o_kind") == "literal", literal).otherwise(F.to_json(F.struct(node.alias("@id"))))
+    key = F.when(is_type, "@type").otherwise(F.col("p"))
+    props = triples.groupBy("s", key.alias("k")).agg(F.array_join(F.array_sort(F.collect_set(obj)), ",\n      ").alias("v"))
+    lines = props.groupBy("s").agg(F.array_sort(F.collect_list(F.concat(F.lit("    "), plain(F.col("k")), F.lit(": [\n      "), "v", F.lit("\n    ]")))).alias("lines"))
+    subject = F.when(~F.col("s").rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | F.col("s").startswith("_:"), blank(F.col("s"))).otherwise(F.col("s"))
+    return lines.select("s", F.concat(F.lit('  {\n    "@id": '), plain(subject), F.lit(",\n"), F.array_join("lines", ",\n"), F.lit("\n  }")).alias("value"))
+
+
+def write_jsonld(triples: DataFrame, path: str, prefixes: Mapping[str, str], override: bool = True) -> None:
+    """K4. Node objects by subject; every part file is a document with the prefixes as its context."""
+    nodes = jsonld(triples).repartitionByRange("s").sortWithinPartitions("s")
+    head = '{\n"@context": ' + json.dumps(dict(prefixes), ensure_ascii=False) + ',\n"@graph": ['
+
+    def run(batches):
+        import pandas as pd
+
+        first = True
+        for b in batches:
+            if len(b):
+                values = list(b["value"])
+                yield pd.DataFrame({"value": [head + "\n" + values[0] if first else "," + values[0], *("," + v for v in values[1:])]})
+                first = False
+        if not first:
+            yield pd.DataFrame({"value": ["]\n}"]})
+
+    nodes.mapInPandas(run, "value string").write.mode("overwrite" if override else "ignore").text(path)
