@@ -35,8 +35,8 @@ _WORD = rf"[{_U}](?:[{_L}]+(?:-[{_U}][{_L}]+)*|[{_U}'’]+(?:-[{_U}'’]+)*)(?![
 _TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Sr|Sra|Pan|Pani|DR|PROF|MR|MRS|MS|HERR|FRAU|MME)"
 _PARTICLES = ("van der", "van den", "von der", "de la", "de los", "de", "von", "van", "der", "den", "da", "dos", "del", "della", "di", "du", "le", "la", "zu", "ter", "af", "al", "el", "bin")
 _PART = "(?:" + "|".join(w.replace(" ", r"[ \u00a0]") for p in _PARTICLES for w in (p, p.upper())) + ")"
-#: A run of capitalised words, initials and particles, with at most one comma.
-RUN = re.compile(rf"[{_U}](?:\.|(?<=[{_U}])(?:[{_L}]+(?:-[{_U}][{_L}]+)*|[{_U}'’]+(?:-[{_U}'’]+)*)(?![{_L}\w]))\.?(?:,?{_S}(?:{_PART}{_S})?[{_U}](?:\.|[{_L}]+(?:-[{_U}][{_L}]+)*|[{_U}'’]+(?:-[{_U}'’]+)*)(?![{_L}\w])){{1,6}}\.?")
+#: A run of capitalised words, initials and particles, of any length.
+RUN = re.compile(rf"[{_U}](?:\.|(?<=[{_U}])(?:[{_L}]+(?:-[{_U}][{_L}]+)*|[{_U}'’]+(?:-[{_U}'’]+)*)(?![{_L}\w]))\.?(?:,?{_S}(?:{_PART}{_S})?[{_U}](?:\.|[{_L}]+(?:-[{_U}][{_L}]+)*|[{_U}'’]+(?:-[{_U}'’]+)*)(?![{_L}\w]))+\.?")
 RUN_PART = re.compile(rf"(?:{_PART}{_S})?(?:{_WORD}|[{_U}]\.?)")
 NUMBER = re.compile(r"[+(\d][\d(](?:[\d().\-–‑/ \u00a0\u2009\u202f]{5,20}\d)(?!\w)")
 CODE = re.compile(r"[\dA-Z](?:(?<=[A-Z])[A-Z]? ?\d|(?<=\d)[ -]?[\dA-Z])(?:[ -]?[\dA-Z]){4,12}(?!\w)")
@@ -49,7 +49,7 @@ _STREETS = (
     rf"\d+[a-zA-Z]?(?:{_S}(?:bis|ter|BIS|TER))?,?{_S}(?:rue|avenue|boulevard|place|quai|chemin|RUE|AVENUE|BOULEVARD|PLACE|QUAI)(?:{_S}(?:de la|des|du|de|DE LA|DES|DU|DE))?{_S}{_TOWN}",
     rf"(?:Calle|Avenida|Avda\.|Plaza|Paseo|CALLE|AVENIDA|PLAZA){_S}(?:(?:de la|del|de){_S})?{_TOWN}{_S}\d+[a-zA-Z]?(?:,{_S}\d+\.[ºª°]{_S}[A-Z](?!\w))?",
     rf"(?:ul|al|os|pl|UL|AL)\.{_S}{_TOWN}{_S}\d+[a-zA-Z]?(?:/\d+)?",
-    rf"[{_U}](?:[{_L}]+(?:straße|strasse|str\.|gasse|weg|platz|allee)|[{_U}ß]+(?:STRASSE|STRAßE|STR\.|GASSE|WEG|PLATZ|ALLEE)){_S}\d+[a-zA-Z]?(?!\w)",
+    rf"[{_U}](?:[{_L}]+(?:straße|strasse|str\.|gasse|weg|platz|allee|ring)|[{_U}ß]+(?:STRASSE|STRAßE|STR\.|GASSE|WEG|PLATZ|ALLEE|RING)){_S}\d+[a-zA-Z]?(?!\w)",
 )
 #: Where an address may begin: what a pattern needs is found first by a plain search.
 STREET = re.compile(r"(?<![\w/.-])(?:" + "|".join(f"(?:{s})" for s in _STREETS) + ")")
@@ -57,7 +57,7 @@ STREET = re.compile(r"(?<![\w/.-])(?:" + "|".join(f"(?:{s})" for s in _STREETS)
 STREET_WORDS = (
     " St", " ST", " Road", " ROAD", " Rd", " Lane", " LANE", " Ave", " AVE", " Court", " COURT", " Drive", " DRIVE", " Close", " Square", " Terrace", " Way", " street", " road", " lane", " court",
     "rue ", "avenue ", "boulevard ", "place ", "quai ", "chemin ", "RUE ", "AVENUE ", "BOULEVARD ", "PLACE ", "QUAI ", "Calle ", "CALLE ", "Avenida ", "AVENIDA ", "Avda. ", "Plaza ", "PLAZA ", "Paseo ",
-    "ul. ", "UL. ", "os. ", "OS. ", "al. ", "AL. ", "pl. ", "PL. ", "straße ", "strasse ", "str. ", "gasse ", "weg ", "platz ", "allee ", "STRASSE ", "STRAßE ", "STR. ", "GASSE ", "WEG ", "PLATZ ", "ALLEE ",
+    "ul. ", "UL. ", "os. ", "OS. ", "al. ", "AL. ", "pl. ", "PL. ", "straße ", "strasse ", "str. ", "gasse ", "weg ", "platz ", "allee ", "ring ", "STRASSE ", "STRAßE ", "STR. ", "GASSE ", "WEG ", "PLATZ ", "ALLEE ", "RING ",
 )
 AFTER_STREET = (
     re.compile(rf"{_BREAK}(?:\d{{5}}|\d\d-\d{{3}}){_S}{_TOWN}"),
@@ -230,10 +230,6 @@ def keys(text: str, kind: str, a: int, b: int, form: str) -> dict[str, str]:
     return shape(text, kind, a, b, form) | {"l1": l1, "l2": l2, "l3": l3, "r2": r2, "r1": r2.split(" ")[0]}
 
 
-#: A shape or ending that was right less often than this in training is turned down without a look at the context (known ones only).
-HOPELESS = 0.002
-
-
 NUMERIC = ("length", "words", "digits", "upper", "breaks", "tail_known")
 
 
@@ -254,11 +250,9 @@ class Model:
         for m in raw.values():
             m["trees"] = [tuple(np.array(x) for x in t) for t in m["trees"]]
 
-    def features(self, kind: str, text: str, a: int, b: int, form: str) -> list[float] | None:
+    def features(self, kind: str, text: str, a: int, b: int, form: str) -> list[float]:
         rates, base = self.kinds[kind]["rates"], self.kinds[kind]["base"]
         k = shape(text, kind, a, b, form)
-        if rates["form"].get(k["form"], base) < HOPELESS or kind == "person_name" and rates["end"].get(k["end"], base) < HOPELESS:
-            return None
         k["l1"], k["l2"], k["l3"], k["r2"] = context(text, a, b)
         k["r1"] = k["r2"].split(" ")[0]
         return [rates[n].get(k[n], base) for n in KEYS] + numbers(text, a, b)
@@ -293,9 +287,8 @@ def find(texts: list[str], m: Model) -> list[list[tuple[int, int, str]]]:
     spans: dict[str, list[tuple[int, int, int]]] = {k: [] for k in KINDS}
     for i, text in enumerate(texts):
         for kind, a, b, form in candidates(text):
-            if (x := m.features(kind, text, a, b, form)) is not None:
-                rows[kind].append(x)
-                spans[kind].append((i, a, b))
+            rows[kind].append(m.features(kind, text, a, b, form))
+            spans[kind].append((i, a, b))
     chosen: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
     for kind in KINDS:
         if rows[kind]:
