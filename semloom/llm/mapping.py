@@ -81,7 +81,7 @@ def neighbours(w: Column) -> Column:
 
 def repairs(tokens: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
     """(token, word, sim): every word of the vocabulary within the edit distance of a token; a swap of two letters is one edit."""
-    longest = LONG * 20
+    longest = vocabulary.agg(F.max(F.length("word"))).scalar() + 2
     side = vocabulary.select("word", F.explode(neighbours(F.col("word"))).alias("n"))
     side = F.broadcast(side) if small else side
     pairs = tokens.where(F.length("token") <= longest).select("token", F.explode(neighbours(F.col("token"))).alias("n")).join(side, "n").select("token", "word").distinct()
@@ -126,7 +126,8 @@ def map_values(values: DataFrame, entries: DataFrame, accept: float = 0.8) -> Da
     small = listed.count() <= BROADCAST_ENTRIES
     exact = tokenised(values).join(F.broadcast(listed) if small else listed, "bag", "left").checkpoint()
     hit = exact.where("concept is not null").select("text", "concept", F.lit(1.0).alias("score"))
-    open_ = exact.where("concept is null").select("tokens", "bag").where(F.size("tokens").between(1, 24)).dropDuplicates(["bag"])
+    # An entry has as many words as the value, so longer values than the longest entry have none.
+    open_ = exact.where("concept is null").select("tokens", "bag").where((F.size("tokens") >= 1) & (F.size("tokens") <= postings.agg(F.max("size")).scalar())).dropDuplicates(["bag"])
 
     spots = open_.select("bag", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
     vocabulary = postings.groupBy("word").agg(F.max("idf").alias("idf"))
