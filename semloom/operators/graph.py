@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -213,8 +214,8 @@ def display_structs(triples: DataFrame) -> DataFrame:
     return joined.select("s", F.when(F.size(two) > 0, F.concat("name", F.lit(" ("), F.array_join(two, "; "), F.lit(")"))).otherwise(F.col("name")).alias("display"))
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """J11. (node, level): longest path from a source; nodes on or behind a cycle, and beyond ``rounds`` levels, come last with null.
+def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """J11. (node, level): longest path from a source; nodes on or behind a cycle come last with null.
 
     Each round takes away the nodes without open predecessors, as Kahn's order
     does; every other round the lineage is cut, so plans stay small.
@@ -222,7 +223,7 @@ def topological_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 64) ->
     open_nodes = nodes.select("node").distinct()
     open_edges = edges.select("source", "target").distinct()
     done = None
-    for level in range(rounds):
+    for level in count():
         free = open_nodes.join(open_edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level))
         free = free.checkpoint()
         if free.isEmpty():
