@@ -1,3 +1,3 @@
-"""semloom: a semantic-layer analytics engine expressed as Spark DataFrame plans."""
+"""semloom: vocabulary and metadata analytics expressed as Spark DataFrame plans."""
 
 __version__ = "0.1.0"

@@ -242,7 +242,7 @@ def turtle_literal(value: Column, lang: Column) -> Column:
     """X27. A literal as Turtle; long quotes where it holds line breaks or quotes."""
     tag = F.when(F.coalesce(lang, F.lit("")) != "", F.concat(F.lit("@"), lang)).otherwise("")
     escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    long_ = value.contains("\n") | value.contains('"')
+    long_ = value.contains("\n") | value.contains("\r") | value.contains('"')
     return F.concat(F.when(long_, F.concat(F.lit('"""'), escaped, F.lit('"""'))).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'))), tag)
 
 

@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.functions.text import local_name, strip
+from semloom.operators.containment import holding
+from semloom.operators.vocabulary import Vocabulary
 
+PUBLIC = Vocabulary()
 SCHEMA = "s string, p string, o string, o_kind string, o_lang string"
 
 
@@ -26,7 +29,7 @@ def _part(name: str, value: str | Sequence[str]) -> tuple[Column | None, str | N
     return (F.col(name) == value if isinstance(value, str) else F.col(name).isin(*value)), None
 
 
-def pattern(triples: DataFrame, s: str, p: str | Sequence[str], o: str, where: Column | None = None) -> DataFrame:
+def pattern(triples: DataFrame, s: str, p: str | Sequence[str], o: str | Sequence[str], where: Column | None = None) -> DataFrame:
     """One column per variable ('?x') of a triple pattern; a list stands for alternatives. The same variable twice is an equality."""
     conditions, columns = [], {}
     for name, value in (("s", s), ("p", p), ("o", o)):
@@ -77,13 +80,25 @@ def merged(*graphs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), graphs).distinct()
 
 
-def removed(triples: DataFrame, patterns: DataFrame) -> DataFrame:
-    """U5. Triples without those that a pattern (s, p, o) fits; null in a pattern stands for anything."""
-    full, rest = patterns.where("s is not null and p is not null"), patterns.where("s is null or p is null")
-    # With subject and predicate known the anti-join is an equi-join.
-    same = lambda a, b: (F.col(f"r.{b}").isNull()) | (F.col(f"t.{a}") == F.col(f"r.{b}"))
-    out = triples.alias("t").join(full.alias("r"), (F.col("t.s") == F.col("r.s")) & (F.col("t.p") == F.col("r.p")) & same("o", "o"), "left_anti")
-    return out.alias("t").join(rest.alias("r"), same("s", "s") & same("p", "p") & same("o", "o"), "left_anti")
+#: The places of a pattern that may be bound; a pattern with none bound fits every triple.
+BOUND = ("spo", "sp", "so", "po", "s", "p", "o")
+
+
+def removed(triples: DataFrame, patterns: DataFrame, bound: Sequence[str] = BOUND) -> DataFrame:
+    """U5. Triples without those that a pattern (s, p, o) fits; null in a pattern stands for anything.
+
+    Patterns are parted by the places they bind, each part is an equi-join. Who
+    knows which places are bound names them in ``bound``, then patterns of other
+    kinds aren't looked for.
+    """
+    out = triples
+    for mask in bound:
+        own = patterns.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() if c in mask else F.col(c).isNull() for c in "spo"))).select(*mask).distinct()
+        out = out.join(own, [*mask], "left_anti")
+    if tuple(bound) == BOUND:
+        every = patterns.agg(F.coalesce(F.bool_or(F.col("s").isNull() & F.col("p").isNull() & F.col("o").isNull()), F.lit(False))).scalar()
+        out = out.where(~every)
+    return out.select(*triples.columns)
 
 
 def lang_matches(lang: Column, wanted: str) -> Column:
@@ -91,55 +106,71 @@ def lang_matches(lang: Column, wanted: str) -> Column:
     return (F.lower(lang) == wanted.lower()) | F.lower(lang).startswith(wanted.lower() + "-")
 
 
-def search_labels(triples: DataFrame, terms: DataFrame, types: Sequence[str], labels: Sequence[str], optionals: Mapping[str, str], n: int, piece: int = 3) -> DataFrame:
-    """Q1-Q4. Concepts of the types whose label holds the term, in any case: (term, s, label, optionals' columns), ``n`` per term.
+def search_labels(triples: DataFrame, terms: DataFrame, types: Sequence[str], labels: Sequence[str], optionals: Mapping[str, str], n: int, lang: str | None = None, voc: Vocabulary = PUBLIC) -> DataFrame:
+    """Q1, Q2, Q4. Concepts of the types whose label holds the term, in any case: (term, s, label, optionals' columns), ``n`` per term.
 
-    Terms of ``piece`` letters or more are joined to labels on their first
-    letters at any place of the label, then verified; shorter ones are few and
-    compared with all labels. Per term the first by label and iri are kept.
+    With ``lang`` only labels of that language or without one count. Terms are
+    joined to labels on their first letters at any place of the label, then
+    verified. Per term the first by label and iri are kept.
     """
-    kept = pattern(triples, "?s", labels, "?label").join(pattern(triples, "?s", "rdf:type", "?__t").where(F.col("__t").isin(*types)).select("s").distinct(), "s", "left_semi").distinct()
-    kept = kept.withColumn("__l", F.lower("label"))
+    said = None if lang is None else F.col("o_lang").isNull() | (F.col("o_lang") == "") | lang_matches(F.col("o_lang"), lang)
+    of_type = pattern(triples, "?s", voc.type, list(types) if len(types) > 1 else types[0]).distinct()
+    kept = pattern(triples, "?s", labels, "?label", where=said).join(of_type, "s", "left_semi").distinct().withColumn("__l", F.lower("label"))
     asked = terms.select("term").distinct().where(strip(F.col("term")) != "").withColumn("__q", F.lower(strip(F.col("term"))))
-    grams = F.transform(F.sequence(F.lit(1), F.length("__l") - (piece - 1)), lambda i: F.substring("__l", i, F.lit(piece)))
-    long_ = asked.where(F.length("__q") >= piece).withColumn("__g", F.substring("__q", 1, piece))
-    found = kept.where(F.length("__l") >= piece).withColumn("__g", F.explode(F.array_distinct(grams))).join(long_, "__g").drop("__g")
-    short = kept.join(asked.where(F.length("__q") < piece), F.col("__l").contains(F.col("__q")))
-    hits = found.where(F.col("__l").contains(F.col("__q"))).unionByName(short.select(*found.columns)).select("term", "s", "label").distinct()
+    hits = holding(kept, "__l", asked, "__q").select("term", "s", "label").distinct()
+    w = Window.partitionBy("term").orderBy("label", "s")
+    hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     for variable, predicate in optionals.items():
         # Of several values the smallest, so that the result doesn't depend on order.
         hits = hits.join(pattern(triples, "?s", predicate, f"?{variable}").groupBy("s").agg(F.min(variable).alias(variable)), "s", "left")
-    w = Window.partitionBy("term").orderBy("label", "s")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return hits.select("term", "s", "label", *optionals, "rank")
 
 
-def concepts_in_schemes(triples: DataFrame, prefixes: Sequence[str]) -> DataFrame:
+def concepts_in_schemes(triples: DataFrame, prefixes: Sequence[str], voc: Vocabulary = PUBLIC) -> DataFrame:
     """Q5. (s, scheme, label) of concepts whose scheme begins with one of the prefixes, any number of them."""
     starts = reduce(lambda a, b: a | b, (F.col("scheme").startswith(p) for p in prefixes))
-    return bgp(pattern(triples, "?s", "skos:inScheme", "?scheme").where(starts), pattern(triples, "?s", "skos:prefLabel", "?label"))
+    return bgp(pattern(triples, "?s", voc.in_scheme, "?scheme").where(starts), pattern(triples, "?s", voc.pref_label, "?label"))
 
 
-def scope_links(triples: DataFrame, predicate: str, variable: str) -> DataFrame:
+def regions(triples: DataFrame, levels: Sequence[str], voc: Vocabulary) -> DataFrame:
+    """Q7/Q11. (region, level, label, wkt) of concepts of the levels that have a geometry; no levels give none."""
+    shape = bgp(pattern(triples, "?region", voc.has_geometry, "?geometry"), pattern(triples, "?geometry", voc.as_wkt, "?wkt"))
+    known = bgp(pattern(triples, "?region", voc.type, voc.concept), pattern(triples, "?region", voc.level, "?level").where(F.col("level").isin(*levels)), pattern(triples, "?region", voc.pref_label, "?label"))
+    return bgp(known, shape).select("region", "level", "label", "wkt").distinct()
+
+
+def region_shape(triples: DataFrame, region: str, voc: Vocabulary = PUBLIC) -> DataFrame:
+    """Q11. (wkt): the geometry of one region, the first by text of several."""
+    return path(triples, region, [voc.has_geometry, voc.as_wkt], "?wkt").agg(F.min("wkt").alias("wkt")).where("wkt is not null")
+
+
+def scope_links(triples: DataFrame, predicate: str, variable: str, voc: Vocabulary) -> DataFrame:
     """(model, variable): linked by way of a scope node or directly."""
-    return union(path(triples, "?model", ["meta:hasScope", predicate], f"?{variable}"), bgp(pattern(triples, "?model", "rdf:type", "meta:Model"), pattern(triples, "?model", predicate, f"?{variable}")))
+    return union(path(triples, "?model", [voc.has_scope, predicate], f"?{variable}"), bgp(pattern(triples, "?model", voc.type, voc.model), pattern(triples, "?model", predicate, f"?{variable}")))
+
+
+def direct_scope(triples: DataFrame, voc: Vocabulary) -> DataFrame:
+    """Q16. Distinct (kind, uri) of hazards and products that stand anywhere in the graph."""
+    kind = F.when(F.col("p") == voc.hazard, "hazard").otherwise("product")
+    return triples.where(F.col("p").isin(voc.hazard, voc.product)).select(kind.alias("kind"), F.col("o").alias("uri")).distinct()
 
 
-def name_of(triples: DataFrame, variable: str, out: str, predicates: Sequence[str] = ("schema:label", "skos:prefLabel")) -> DataFrame:
+def name_of(triples: DataFrame, variable: str, out: str, predicates: Sequence[str] = (PUBLIC.label, PUBLIC.pref_label)) -> DataFrame:
     """(variable, out): the name by the first predicate that has one, the smallest of several."""
     rank = F.array_position(F.array(*map(F.lit, predicates)), F.col("p"))
     return triples.where(F.col("p").isin(*predicates)).groupBy(F.col("s").alias(variable)).agg(F.min(F.struct(rank.alias("r"), "o"))["o"].alias(out))
 
 
-def catalogue(triples: DataFrame) -> DataFrame:
-    """Q6. Distinct (product_label, hazard_label) of models, in order."""
-    both = bgp(scope_links(triples, "meta:product", "product"), scope_links(triples, "meta:hazard", "hazard"))
+def catalogue(triples: DataFrame, voc: Vocabulary) -> DataFrame:
+    """Q6. Distinct (product, product_label, hazard, hazard_label) of models; both need a label."""
+    both = bgp(scope_links(triples, voc.product, "product", voc), scope_links(triples, voc.hazard, "hazard", voc)).select("product", "hazard").distinct()
     named = optional(both, name_of(triples, "product", "product_label"), name_of(triples, "hazard", "hazard_label"))
-    return named.where("product_label is not null and hazard_label is not null").select("product", "product_label", "hazard", "hazard_label").distinct()
+    return named.where("product_label is not null and hazard_label is not null").select("product", "product_label", "hazard", "hazard_label")
 
 
-def find_models(triples: DataFrame) -> DataFrame:
+def find_models(triples: DataFrame, voc: Vocabulary) -> DataFrame:
     """Q8. (product, hazard, model): for each pair the first model by iri that has an identifier."""
-    both = bgp(scope_links(triples, "meta:product", "product"), scope_links(triples, "meta:hazard", "hazard"), pattern(triples, "?model", "schema:identifier", "?identifier"))
+    both = bgp(scope_links(triples, voc.product, "product", voc), scope_links(triples, voc.hazard, "hazard", voc), path(triples, "?model", voc.identifier, "?identifier"))
     return both.groupBy("product", "hazard").agg(F.min("model").alias("model"))
 
 
@@ -150,67 +181,97 @@ def unit_symbols(units: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def main_model(triples: DataFrame, composite: str, section: str) -> DataFrame:
-    """Q12. (model): the first composite model, else the first subject with the section."""
-    a = pattern(triples, "?model", "rdf:type", composite).select(F.lit(0).alias("r"), "model")
-    b = pattern(triples, "?model", section, "?__x").select(F.lit(1).alias("r"), "model")
+def main_model(triples: DataFrame, voc: Vocabulary) -> DataFrame:
+    """Q12. (model): the first composite model, else the first subject with parameters (or the section that holds them)."""
+    a = pattern(triples, "?model", voc.type, voc.composite).select(F.lit(0).alias("r"), "model")
+    b = pattern(triples, "?model", voc.has_parameter[0], "?__x").select(F.lit(1).alias("r"), "model")
     return a.unionByName(b).agg(F.min(F.struct("r", "model"))["model"].alias("model"))
 
 
 def without_containers(models: DataFrame) -> DataFrame:
-    """Q14. (model, name) without models whose name holds the name of another; all of them where none is left.
+    """Q14. (model, name) without models whose name holds the name of another; all of them where none is left."""
+    names = models.select("name").distinct()
+    held = holding(names, "name", names.withColumnRenamed("name", "other"), "other").where("name <> other").select("name").distinct().withColumn("__held", F.lit(True))
+    marked = models.join(held, "name", "left")
+    none = marked.agg((F.count_if(F.col("__held").isNull()) == 0)).scalar()
+    return marked.where(F.col("__held").isNull() | none).select(*models.columns)
 
-    Names are joined on the words of the shorter name's beginning, then verified.
+
+def parameters(triples: DataFrame, codes: Mapping[str, str], voc: Vocabulary) -> DataFrame:
+    """Q15/Q18. (model, param_id, name, unit, roles): parameters whose id doesn't end in a digit; roles are the set of classes.
+
+    ``codes`` gives the class for the number that a class iri ends in. All
+    properties of a parameter are gathered by one aggregation over its triples.
     """
-    other = models.select(F.col("name").alias("other")).distinct().where("other <> ''")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 3, F.lit(1))), lambda i: F.substring("name", i, F.lit(4)))
-    long_ = models.select("name").distinct().withColumn("g", F.explode(F.array_distinct(grams))).join(other.where(F.length("other") >= 4).withColumn("g", F.substring("other", 1, 4)), "g")
-    short = models.select("name").distinct().join(other.where(F.length("other") < 4), F.col("name").contains(F.col("other")))
-    holding = long_.select("name", "other").unionByName(short.select("name", "other")).where((F.col("name") != F.col("other")) & F.col("name").contains(F.col("other"))).select("name").distinct()
-    kept = models.join(holding, "name", "left_anti")
-    none = kept.agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
-    return kept.unionByName(models.where(none))
-
-
-def parameters(triples: DataFrame, codes: Mapping[str, str]) -> DataFrame:
-    """Q15/Q18. (model, param_id, name, unit, roles): parameters whose id doesn't end in a digit; roles are the set of classes by ``codes``."""
-    base = pattern(triples, "?model", "meta:hasParameter", "?param")
-    one = lambda p, v: pattern(triples, "?param", p, f"?{v}").groupBy("param").agg(F.min(v).alias(v))
-    full = optional(base, one("meta:paramId", "own_id"), one("schema:name", "name"), one("meta:unit", "unit"), pattern(triples, "?param", "meta:classification", "?class"))
+    wanted = (voc.param_id, voc.name, voc.unit, voc.classification)
+    one = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
+    facts = triples.where(F.col("p").isin(*wanted)).groupBy(F.col("s").alias("param")).agg(
+        one(voc.param_id).alias("own_id"), one(voc.name).alias("name"), one(voc.unit).alias("unit"), F.collect_set(F.when(F.col("p") == voc.classification, F.col("o"))).alias("classes")
+    )
     code = F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))
-    ident = F.coalesce("own_id", "name")
-    role = F.coalesce(F.element_at(code, F.upper("class")), F.upper("class"))
-    listed = full.withColumn("param_id", ident).where(F.col("param_id").isNotNull() & ~F.col("param_id").rlike("[0-9]$"))
-    return listed.groupBy("model", "param_id").agg(F.min("name").alias("name"), F.min("unit").alias("unit"), F.array_sort(F.collect_set(role)).alias("roles"))
+    role = lambda c: F.coalesce(F.element_at(code, F.nullif(F.regexp_extract(c, r"^\w+:.*?(\d+)$", 1), F.lit(""))), F.upper(c))
+    full = path(triples, "?model", voc.has_parameter, "?param").join(facts, "param").withColumn("param_id", F.coalesce("own_id", "name"))
+    listed = full.where(F.col("param_id").isNotNull() & ~F.col("param_id").rlike("[0-9]$")).select("model", "param_id", "name", "unit", F.transform("classes", role).alias("roles"))
+    return listed.groupBy("model", "param_id").agg(F.min("name").alias("name"), F.min("unit").alias("unit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("roles")))).alias("roles"))
+
+
+def connections(triples: DataFrame, voc: Vocabulary) -> DataFrame:
+    """Q17. Distinct (source, target, name): models where a name is an output of one and an input of another."""
+    named = triples.where(F.col("p").isin(voc.name, voc.classification)).groupBy(F.col("s").alias("param")).agg(
+        F.collect_set(F.when(F.col("p") == voc.name, F.lower("o"))).alias("names"), F.collect_set(F.when(F.col("p") == voc.classification, F.upper("o"))).alias("classes")
+    )
+    io = path(triples, "?model", voc.has_parameter, "?param").join(named, "param").select("model", "classes", F.explode("names").alias("name"))
+    side = lambda word, as_: io.where(F.array_contains("classes", word)).select(F.col("model").alias(as_), "name").distinct()
+    return side("OUTPUT", "source").join(side("INPUT", "target"), "name").where("source <> target").select("source", "target", "name")
 
 
-def connections(triples: DataFrame) -> DataFrame:
-    """Q17. (source, target, name): models where a name is an output of one and an input of another."""
-    io = bgp(pattern(triples, "?model", "meta:hasParameter", "?param"), pattern(triples, "?param", "meta:classification", "?class"), pattern(triples, "?param", "schema:name", "?name"))
-    out = io.where(F.upper("class") == "OUTPUT").select(F.col("model").alias("source"), F.lower("name").alias("name")).distinct()
-    into = io.where(F.upper("class") == "INPUT").select(F.col("model").alias("target"), F.lower("name").alias("name")).distinct()
-    return out.join(into, "name").where("source <> target")
+def scope_candidates(triples: DataFrame, voc: Vocabulary) -> DataFrame:
+    """Q19. (kind, label, uris) of each hazard or product node: its label, and the iris it may be known by (the node and its name)."""
+    kind = F.when(F.col("p") == voc.hazard, "hazard").otherwise("product")
+    nodes = triples.where(F.col("p").isin(voc.hazard, voc.product)).select(kind.alias("kind"), F.col("o").alias("node"), (F.col("o_kind") == "iri").alias("is_iri")).distinct()
+    named = triples.where(F.col("p").isin(voc.label, voc.name)).groupBy(F.col("s").alias("node")).agg(
+        F.min(F.when(F.col("p") == voc.label, strip(F.col("o")))).alias("label"), F.collect_set(F.when((F.col("p") == voc.name) & (F.col("o_kind") == "iri"), F.col("o"))).alias("names")
+    )
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("is_iri"), F.array("node")).otherwise(none)
+    return nodes.join(named, "node", "left").select("kind", "node", "label", F.array_sort(F.array_distinct(F.concat(F.coalesce("names", none), own))).alias("uris"))
+
+
+def variable_candidates(triples: DataFrame, uris: DataFrame, voc: Vocabulary) -> DataFrame:
+    """Q22. (uri, source, variable, pref, alt, id) of what is an exact match of a uri; the variable's name falls back to the last part of the source's iri.
+
+    Of several values of one property the smallest stands, so a source is one row.
+    """
+    found = uris.select("uri").distinct().join(pattern(triples, "?source", voc.matches[0], "?uri"), "uri").distinct()
+    one = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
+    facts = triples.where(F.col("p").isin(voc.variable_name, voc.pref_label, voc.alt_label)).groupBy(F.col("s").alias("source")).agg(one(voc.variable_name).alias("v"), one(voc.pref_label).alias("pref"), one(voc.alt_label).alias("alt"))
+    tail = F.substring_index("source", "/", -1)
+    return found.join(facts, "source", "left").select("uri", "source", F.coalesce("v", tail).alias("variable"), F.coalesce("pref", F.lit("")).alias("pref"), F.coalesce("alt", F.lit("")).alias("alt"), tail.alias("id"))
 
 
-def match_by_uri(triples: DataFrame, uris: DataFrame) -> DataFrame:
+def match_by_uri(triples: DataFrame, uris: DataFrame, voc: Vocabulary = PUBLIC) -> DataFrame:
     """Q20. (uri, concept): the concept itself, or one it is an exact, close or narrow match of."""
-    own = uris.join(pattern(triples, "?uri", "rdf:type", "skos:Concept"), "uri").select("uri", F.col("uri").alias("concept"))
-    linked = uris.join(pattern(triples, "?concept", ["skos:exactMatch", "skos:closeMatch", "skos:narrowMatch"], "?uri"), "uri")
+    own = uris.join(pattern(triples, "?uri", voc.type, voc.concept), "uri").select("uri", F.col("uri").alias("concept"))
+    exact, close, _, narrow, _ = voc.matches
+    linked = uris.join(pattern(triples, "?concept", [exact, close, narrow], "?uri"), "uri")
     return own.unionByName(linked.select("uri", "concept")).distinct()
 
 
-def match_by_label(triples: DataFrame, values: DataFrame) -> DataFrame:
+def match_by_label(triples: DataFrame, values: DataFrame, voc: Vocabulary = PUBLIC) -> DataFrame:
     """Q21. (text, concept): preferred or alternative label equal to the text, in any case."""
-    labels = pattern(triples, "?concept", ["skos:prefLabel", "skos:altLabel"], "?label").select("concept", F.lower("label").alias("__l"))
+    labels = pattern(triples, "?concept", [voc.pref_label, voc.alt_label], "?label").select("concept", F.lower("label").alias("__l"))
     return values.select("text").distinct().join(labels, F.lower("text") == F.col("__l")).select("text", "concept").distinct()
 
 
-def display_structs(triples: DataFrame) -> DataFrame:
+def display_structs(triples: DataFrame, voc: Vocabulary = PUBLIC) -> DataFrame:
     """Q23. (s, display): first preferred label (else label), with up to two alternative labels that differ from it."""
-    names = triples.where(F.col("p").isin("skos:prefLabel", "rdfs:label")).groupBy("s").agg(F.min(F.struct(F.when(F.col("p") == "skos:prefLabel", 0).otherwise(1).alias("r"), "o"))["o"].alias("name"))
-    alts = pattern(triples, "?s", "skos:altLabel", "?alt").groupBy("s").agg(F.array_sort(F.collect_set("alt")).alias("alts"))
-    joined = names.join(alts, "s", "left")
-    two = F.slice(F.filter(F.coalesce("alts", F.array().cast("array<string>")), lambda a: a != F.col("name")), 1, 2)
+    rank = F.when(F.col("p") == voc.pref_label, 0).otherwise(1)
+    named = F.col("p").isin(voc.pref_label, voc.rdfs_label)
+    # One aggregation by subject gives the name and the alternative labels.
+    joined = triples.where(named | (F.col("p") == voc.alt_label)).groupBy("s").agg(
+        F.min(F.when(named, F.struct(rank.alias("r"), "o")))["o"].alias("name"), F.array_sort(F.collect_set(F.when(F.col("p") == voc.alt_label, F.col("o")))).alias("alts")
+    ).where("name is not null")
+    two = F.slice(F.filter("alts", lambda a: a != F.col("name")), 1, 2)
     return joined.select("s", F.when(F.size(two) > 0, F.concat("name", F.lit(" ("), F.array_join(two, "; "), F.lit(")"))).otherwise(F.col("name")).alias("display"))
 
 

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.functions.text import comma_list, keyword_tokens, sequence_ratio, strip
+from semloom.operators.containment import holding
 from semloom.operators.graph import removed
+from semloom.operators.vocabulary import Vocabulary
+
+PUBLIC = Vocabulary()
 
 # What stands for no dimension, the threshold of units, and the points of the disambiguation.
 DIMENSIONLESS = ("dimensionless", "unitless", "1")
-UNIT_THRESHOLD, HELD, ALIKE, ALIKE_FROM = 0.7, 50, 20, 0.6
+UNIT_THRESHOLD, HELD_SCORE, HELD, ALIKE, ALIKE_FROM = 0.7, 0.5, 50, 20, 0.6
 
 
 def targets(candidates: DataFrame) -> DataFrame:
@@ -19,12 +23,32 @@ def targets(candidates: DataFrame) -> DataFrame:
     return candidates.select("display", "ord", F.explode(F.array_distinct(F.concat(F.array(F.lower("term")), alts))).alias("target")).where("target <> ''")
 
 
+def letter_prefix(c: Column, least: float) -> Column:
+    """Keys two texts share if their matching-block ratio reaches ``least``: the rarest letters of each, counted apart.
+
+    A ratio r of texts of lengths a and b asks for r (a + b) / 2 letters in
+    common, at least r a / (2 - r) as b is at least r a / (2 - r). So whatever
+    order of letters is agreed on, the first a - r a / (2 - r) + 1 of both texts
+    have one in common. Rare letters come first in the order.
+    """
+    order = F.translate(c, RARE, "".join(chr(0xE000 + i) for i in range(len(RARE))))
+    letters = F.array_sort(F.filter(F.split(order, ""), lambda x: x != ""))
+    counted = F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x) + 1).cast("string")))
+    n = F.length(c) - F.ceil(F.length(c) * (least / (2 - least)) - 1e-9).cast("int") + 1
+    return F.slice(counted, F.lit(1), F.greatest(n, F.lit(1)))
+
+
+#: Common letters and marks, the most common last, as they are sorted behind all others.
+RARE = "zqxjkvbpygfwmucldrhsnioat e"
+
+
 def match_units(values: DataFrame, candidates: DataFrame, threshold: float = UNIT_THRESHOLD) -> DataFrame:
     """X9/X10. (text, display, score) of distinct units: equal 1, one held by the other 0.5 at least, else the matching-block ratio; the best from ``threshold`` on, the first of equals.
 
     '[]' goes to a candidate of that name, else to one that stands for no
-    dimension, else to itself. Only pairs that could reach the threshold by their
-    length reach the UDF; candidates are a short list (units of a mapping table).
+    dimension, else to itself. Texts meet candidates on shared letters that a
+    pair above the threshold must have; only such pairs, of like length, reach
+    the UDF. Both sides may be of any size.
     """
     q = values.select("text").distinct().where(F.coalesce(strip(F.col("text")), F.lit("")) != "").withColumn("q", F.lower(strip(F.col("text"))))
     t = targets(candidates)
@@ -32,11 +56,14 @@ def match_units(values: DataFrame, candidates: DataFrame, threshold: float = UNI
     equal = plain.join(t, F.col("q") == F.col("target")).select("text", "display", "ord", F.lit(1.0).alias("score"))
     left = plain.join(equal.select("text").distinct(), "text", "left_anti")
     bound = 2.0 * F.least(F.length("q"), F.length("target")) / (F.length("q") + F.length("target")) >= threshold
-    # Held pairs score 0.5 and can't reach a threshold above it; the others need a common letter to score at all.
-    pairs = left.join(F.broadcast(t), bound & ~F.col("q").contains(F.col("target")) & ~F.col("target").contains(F.col("q")))
-    near = pairs.withColumn("score", sequence_ratio(F.col("q"), F.col("target"))).where(F.col("score") >= threshold).select("text", "display", "ord", "score")
-    held = left.join(F.broadcast(t), F.col("q").contains(F.col("target")) | F.col("target").contains(F.col("q"))).select("text", "display", "ord", F.lit(0.5).alias("score")).where(F.col("score") >= threshold)
-    hits = equal.unionByName(near).unionByName(held)
+    prefix = lambda df, c: df.withColumn("k", F.explode(F.array_distinct(letter_prefix(F.col(c), threshold))))
+    met = prefix(left.select("q").distinct(), "q").join(prefix(t.select("target").distinct(), "target"), "k").where(bound).select("q", "target").distinct()
+    near = met.where(~F.col("q").contains(F.col("target")) & ~F.col("target").contains(F.col("q"))).withColumn("score", sequence_ratio(F.col("q"), F.col("target")))
+    if threshold <= HELD_SCORE:
+        texts, parts = left.select("q").distinct(), t.select("target").distinct()
+        held = holding(texts, "q", parts, "target").unionByName(holding(parts, "target", texts, "q")).distinct()
+        near = near.unionByName(held.select("q", "target", F.lit(HELD_SCORE).alias("score")))
+    hits = equal.unionByName(left.join(near.where(F.col("score") >= threshold), "q").join(t, "target").select("text", "display", "ord", "score"))
     best = hits.groupBy("text").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "display")).alias("b")).select("text", "b.display", "b.score")
     exact = t.where("target = '[]'").select(F.lit(0).alias("r"), "ord", "display")
     none = t.where(F.col("target").isin(*DIMENSIONLESS)).select(F.lit(1).alias("r"), "ord", "display")
@@ -48,12 +75,13 @@ def match_units(values: DataFrame, candidates: DataFrame, threshold: float = UNI
 def match_keywords(values: DataFrame, candidates: DataFrame) -> DataFrame:
     """X8 as a join. (text, display, score): the candidate of most overlap of words longer than two letters; the first of equals.
 
-    Distinct words of the values are joined to distinct words of the candidates
-    (a short list) once: equal 1, one within the other 0.8.
+    Distinct words of the values meet distinct words of the candidates once, by
+    the pieces one of them has to hold of the other: equal 1, one within the other 0.8.
     """
     q = values.select("text").distinct().select("text", F.explode(keyword_tokens(F.col("text"))).alias("w"))
     c = targets(candidates).select("display", "ord", F.explode(keyword_tokens(F.col("target"))).alias("v")).distinct()
-    words = q.select("w").distinct().join(F.broadcast(c.select("v").distinct()), F.col("w").contains(F.col("v")) | F.col("v").contains(F.col("w")))
+    asked, known = q.select("w").distinct(), c.select("v").distinct()
+    words = holding(asked, "w", known, "v").unionByName(holding(known, "v", asked, "w")).distinct()
     words = words.withColumn("score", F.when(F.col("w") == F.col("v"), 1.0).otherwise(0.8))
     scored = q.join(words, "w").join(c, "v").groupBy("text", "display", "ord").agg(F.round(F.sum("score"), 6).alias("score"))
     return scored.groupBy("text").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "display")).alias("b")).select("text", "b.display", "b.score")
@@ -94,18 +122,18 @@ def disambiguate(pairs: DataFrame, key: str, choice: str, search: Column, target
     return scored.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(key, choice, "score")
 
 
-def input_mappings(wired: DataFrame, base: str) -> DataFrame:
+def input_mappings(wired: DataFrame, base: str, voc: Vocabulary = PUBLIC) -> DataFrame:
     """J16. Triples (s, p, o, o_kind) of a mapping node for each (model, parameter, source, variable); node ids follow from model and parameter."""
     node = F.concat(F.lit("b"), F.substring(F.md5(F.concat_ws("|", "model", "parameter")), 1, 16))
     t = lambda s, p, o, kind: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
     rows = F.array(
-        t(F.col("model"), base + "hasInputMapping", node, "bnode"), t(node, "rdf:type", F.lit(base + "InputMapping"), "iri"), t(node, base + "mapsParameter", F.col("parameter"), "iri"),
+        t(F.col("model"), base + "hasInputMapping", node, "bnode"), t(node, voc.type, F.lit(base + "InputMapping"), "iri"), t(node, base + "mapsParameter", F.col("parameter"), "iri"),
         t(node, base + "isFulfilledBy", F.col("source"), "iri"), t(node, base + "sourceVariableName", F.col("variable"), "literal"),
     )
     return wired.select(F.inline(rows)).distinct()
 
 
-def parameter_mappings(inputs: DataFrame, outputs: DataFrame, base: str) -> DataFrame:
+def parameter_mappings(inputs: DataFrame, outputs: DataFrame, base: str, voc: Vocabulary = PUBLIC) -> DataFrame:
     """J16. Triples (s, p, o, o_kind) of chosen concepts and units: (model, parameter, uris array, unit uri) of input and of output parameters.
 
     Every uri is an exact match of the parameter. An input has its preferred unit; an output with a concept or
@@ -116,17 +144,17 @@ def parameter_mappings(inputs: DataFrame, outputs: DataFrame, base: str) -> Data
     uris = F.filter(F.transform(F.coalesce("uris", F.array().cast("array<string>")), strip), lambda u: u.isNotNull() & ~F.lower(u).isin("", "nan"))
     parameter, unit = F.col("parameter"), F.nullif("unit", F.lit(""))
     same = lambda df: df.select("model", "parameter", unit.alias("unit"), uris.alias("uris"))
-    exact = F.transform("uris", lambda u: t(parameter, "skos:exactMatch", u))
+    exact = F.transform("uris", lambda u: t(parameter, voc.matches[0], u))
     put_in = F.concat(exact, F.array(t(parameter, base + "preferredInputUnit", F.col("unit"))))
     own = F.array(
-        t(F.col("model"), base + "hasOutputMapping", node, "bnode"), t(node, "rdf:type", F.lit(base + "OutputMapping")), t(node, base + "mapsParameter", parameter),
+        t(F.col("model"), base + "hasOutputMapping", node, "bnode"), t(node, voc.type, F.lit(base + "OutputMapping")), t(node, base + "mapsParameter", parameter),
         t(node, base + "producesObservedProperty", F.get("uris", F.lit(0))), t(node, base + "hasOutputUnit", F.col("unit")),
     )
     chosen = same(outputs).where((F.size("uris") > 0) | F.col("unit").isNotNull())
     return same(inputs).select(F.inline(put_in)).unionByName(chosen.select(F.inline(F.concat(exact, own)))).where("o is not null").distinct()
 
 
-def applied(triples: DataFrame, parameters: DataFrame, scope: DataFrame, added: DataFrame, base: str, hazard: str = "meta:hazard", product: str = "meta:product") -> DataFrame:
+def applied(triples: DataFrame, parameters: DataFrame, scope: DataFrame, added: DataFrame, base: str, voc: Vocabulary) -> DataFrame:
     """J16. The triples (s, p, o, o_kind and others) after the mappings of some models are replaced.
 
     ``parameters``: (model, parameter, side), all of these models with side 'i' or 'o'; ``scope``: (model, kind, uri) with kind
@@ -138,6 +166,6 @@ def applied(triples: DataFrame, parameters: DataFrame, scope: DataFrame, added:
     gone = lambda df, s, *ps: df.select(F.col(s).alias("s"), F.explode(F.array(*map(F.lit, ps))).alias("p"), none)
     nodes = triples.where(F.col("p").isin(*links)).join(models, F.col("s") == F.col("model"), "left_semi").select(F.col("o").alias("s"))
     units = gone(parameters.where("side = 'i'"), "parameter", base + "preferredInputUnit", base + "expectsQuantityKind")
-    old = gone(models, "model", hazard, product, *links).unionByName(gone(parameters, "parameter", "skos:exactMatch")).unionByName(units)
-    new = scope.select(F.col("model").alias("s"), F.when(F.col("kind") == "hazard", hazard).otherwise(product).alias("p"), F.col("uri").alias("o"), F.lit("iri").alias("o_kind")).unionByName(added)
-    return removed(triples.join(nodes, "s", "left_anti"), old.distinct()).unionByName(new, allowMissingColumns=True).distinct()
+    old = gone(models, "model", voc.hazard, voc.product, *links).unionByName(gone(parameters, "parameter", voc.matches[0])).unionByName(units)
+    new = scope.select(F.col("model").alias("s"), F.when(F.col("kind") == "hazard", voc.hazard).otherwise(voc.product).alias("p"), F.col("uri").alias("o"), F.lit("iri").alias("o_kind")).unionByName(added)
+    return removed(triples.join(nodes, "s", "left_anti"), old, bound=("sp",)).unionByName(new, allowMissingColumns=True).distinct()

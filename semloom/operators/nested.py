@@ -138,7 +138,7 @@ def with_context(nodes: DataFrame, context: DataFrame, vocab: str | None = None)
     steps = F.split(outer, r"\.")
     scopes = F.array_union(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ".")), F.array(F.lit("")))
     keyed = nodes.where("key <> ''").select("model_id", "node_id", "key", F.explode(scopes).alias("scope"))
-    best = keyed.join(F.broadcast(context), ["scope", "key"]).groupBy("model_id", "node_id").agg(F.max_by("iri", F.length("scope")).alias("iri"))
+    best = keyed.join(context, ["scope", "key"]).groupBy("model_id", "node_id").agg(F.max_by("iri", F.length("scope")).alias("iri"))
     default = F.when(F.col("key").startswith("@"), F.col("key")).otherwise(F.concat(F.lit(vocab), F.col("key")) if vocab else F.lit(None).cast("string"))
     return nodes.join(best, ["model_id", "node_id"], "left").withColumn("property", F.coalesce("iri", F.when(F.col("key") != "", default))).drop("iri")
 

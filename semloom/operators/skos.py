@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.functions.text import comma_list, slugify, strip, turtle_iri, turtle_literal, uri_namespace
+from semloom.operators.vocabulary import MATCH_NAMES, NAMESPACES, Vocabulary, iri
 
-# Mapping properties by their spelling in a table, and the order of properties in output.
-MATCHES = {f"skos:{m.lower()}": f"skos:{m}" for m in ("exactMatch", "closeMatch", "broadMatch", "narrowMatch", "relatedMatch")}
-ORDER = ("dct:title", "dct:description", "skos:inScheme", "skos:prefLabel", "skos:altLabel", "skos:definition", "dct:source", "skos:exactMatch", "skos:closeMatch", "skos:broadMatch", "skos:narrowMatch", "skos:relatedMatch")
+PUBLIC = Vocabulary()
+#: Mapping properties by their spelling in a table, lower case, as CURIE or in full.
+MATCHES = {spelt.lower(): iri(f"skos:{m}") for m in MATCH_NAMES for spelt in (f"skos:{m}", iri(f"skos:{m}"))}
+#: The order of properties in output.
+ORDER = (PUBLIC.title, PUBLIC.description, PUBLIC.in_scheme, PUBLIC.pref_label, PUBLIC.alt_label, PUBLIC.definition, PUBLIC.source, *PUBLIC.matches)
+#: What a minted scheme is called and how it is described; {} stands for its group.
+SCHEME_TITLE, SCHEME_TEXT = "{} Vocabulary", "Concepts of the group {}."
 
 
 def long_uris(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -40,37 +45,44 @@ def vocabulary_type(value: Column, types: Mapping[str, tuple[str, Sequence[str]]
     return out
 
 
-def upsert(rows: DataFrame, existing: DataFrame, base: str, lang: str = "en") -> DataFrame:
+def upsert(rows: DataFrame, existing: DataFrame, base: str, lang: str = "en", title: str = SCHEME_TITLE, text: str = SCHEME_TEXT, voc: Vocabulary = PUBLIC) -> DataFrame:
     """J12. Triples (s, p, o, o_lang, o_kind, is_new) that a wide table adds to a vocabulary.
 
     ``rows``: row_id, term, alt_label, concept_group and arrays of definitions,
-    sources and mappings (uri, match_type). A row belongs to the existing concept
+    sources and, where it has the column, mappings (match_type, uri). A row belongs to the existing concept
     whose preferred label is its term, else to one that has one of its
     alternative labels, else to the concept minted for its term; rows of one term
     are one concept, whatever their order. Blank terms are skipped. Mappings with
     an unknown match type are skipped; those that conflict (``conflicts``) aren't added.
     """
     t = rows.where(F.coalesce(strip(F.col("term")), F.lit("")) != "").withColumn("alts", comma_list(F.col("alt_label")))
-    concepts = existing.where("p = 'rdf:type' and o = 'skos:Concept'").select("s").distinct()
+    concepts = existing.where((F.col("p") == voc.type) & (F.col("o") == voc.concept)).select("s").distinct()
     named = lambda p, v: existing.where(F.col("p") == p).join(concepts, "s").groupBy(F.col("o").alias(v)).agg(F.min("s").alias(f"by_{v}"))
-    by_alt = t.select("term", F.explode("alts").alias("alt")).join(named("skos:altLabel", "alt"), "alt").groupBy("term").agg(F.min("by_alt").alias("by_alt"))
+    by_alt = t.select("term", F.explode("alts").alias("alt")).join(named(voc.alt_label, "alt"), "alt").groupBy("term").agg(F.min("by_alt").alias("by_alt"))
     slug = F.when(strip(F.coalesce("concept_group", F.lit(""))) != "", F.concat(slugify(F.col("concept_group")), F.lit("/"))).otherwise("")
     minted = t.groupBy("term").agg(F.min_by(F.concat(F.lit(base + "concept/"), slug, slugify(F.col("term"))), "row_id").alias("minted"))
-    at = minted.join(named("skos:prefLabel", "term"), "term", "left").join(by_alt, "term", "left")
+    at = minted.join(named(voc.pref_label, "term"), "term", "left").join(by_alt, "term", "left")
     at = at.select("term", F.coalesce("by_term", "by_alt", "minted").alias("s"), F.coalesce("by_term", "by_alt").isNull().alias("is_new"))
     joined = t.join(at, "term")
     none = F.lit(None).cast("string")
     row = lambda p, o, lng, kind: F.struct(F.lit(p).alias("p"), o.alias("o"), (F.lit(lng) if lng else none).alias("o_lang"), F.lit(kind).alias("o_kind"))
     scheme = F.concat(F.lit(base + "scheme/"), slugify(F.col("concept_group")))
     grouped = strip(F.coalesce("concept_group", F.lit(""))) != ""
-    own = F.when(F.col("is_new"), F.array(row("rdf:type", F.lit("skos:Concept"), None, "iri"), row("skos:prefLabel", F.col("term"), lang, "literal")))
-    in_scheme = F.when(F.col("is_new") & grouped, F.array(row("skos:inScheme", scheme, None, "iri")))
-    lists = [F.transform("alts", lambda a: row("skos:altLabel", a, lang, "literal")), F.transform("definitions", lambda d: row("skos:definition", d, lang, "literal")), F.transform("sources", lambda x: row("dct:source", strip(x), None, "literal"))]
+    own = F.when(F.col("is_new"), F.array(row(voc.type, F.lit(voc.concept), None, "iri"), row(voc.pref_label, F.col("term"), lang, "literal")))
+    in_scheme = F.when(F.col("is_new") & grouped, F.array(row(voc.in_scheme, scheme, None, "iri")))
+    lists = [F.transform("alts", lambda a: row(voc.alt_label, a, lang, "literal")), F.transform("definitions", lambda d: row(voc.definition, d, lang, "literal")), F.transform("sources", lambda x: row(voc.source, strip(x), None, "literal"))]
     added = joined.select("s", "is_new", F.explode(F.flatten(F.filter(F.array(own, in_scheme, *lists), lambda x: x.isNotNull()))).alias("t")).select("s", "t.*", "is_new").where("o is not null")
     schemes = t.where(grouped).select(F.concat(F.lit(base + "scheme/"), slugify(F.col("concept_group"))).alias("s"), "concept_group").groupBy("s").agg(F.min("concept_group").alias("g"))
-    text = F.concat(F.lit("A controlled vocabulary of "), F.col("g"), F.lit(" concepts."))
-    heads = schemes.select("s", F.explode(F.array(row("rdf:type", F.lit("skos:ConceptScheme"), None, "iri"), row("dct:title", F.concat("g", F.lit(" Vocabulary")), lang, "literal"), row("dct:description", text, lang, "literal"))).alias("t"), F.lit(True).alias("is_new"))
-    return added.unionByName(heads.select("s", "t.*", "is_new")).groupBy("s", "p", "o", "o_lang", "o_kind").agg(F.max("is_new").alias("is_new"))
+    filled = lambda template: F.replace(F.lit(template), F.lit("{}"), F.col("g"))
+    heads = schemes.select("s", F.explode(F.array(row(voc.type, F.lit(voc.concept_scheme), None, "iri"), row(voc.title, filled(title), lang, "literal"), row(voc.description, filled(text), lang, "literal"))).alias("t"), F.lit(True).alias("is_new"))
+    added = added.unionByName(heads.select("s", "t.*", "is_new"))
+    if "mappings" in rows.columns:
+        wanted = joined.select("s", "is_new", F.inline("mappings")).where("uri is not null and match_type is not null")
+        clash = conflicts(wanted.select("s", "match_type", "uri"), existing).select("s", "p", F.col("new_uri").alias("o")).distinct()
+        known = F.create_map(*(F.lit(x) for kv in MATCHES.items() for x in kv))
+        linked = wanted.select("s", "is_new", F.element_at(known, F.lower(strip(F.col("match_type")))).alias("p"), strip(F.col("uri")).alias("o")).where("p is not null and o <> ''").join(clash, ["s", "p", "o"], "left_anti")
+        added = added.unionByName(linked.select("s", "p", "o", none.alias("o_lang"), F.lit("iri").alias("o_kind"), "is_new"))
+    return added.groupBy("s", "p", "o", "o_lang", "o_kind").agg(F.max("is_new").alias("is_new"))
 
 
 def conflicts(mappings: DataFrame, existing: DataFrame) -> DataFrame:
@@ -80,8 +92,8 @@ def conflicts(mappings: DataFrame, existing: DataFrame) -> DataFrame:
     ones the first by uri of a namespace; unknown match types are skipped.
     """
     known = F.create_map(*(F.lit(x) for kv in MATCHES.items() for x in kv))
-    new = mappings.withColumn("p", F.element_at(known, F.lower(strip(F.col("match_type"))))).where("p is not null and uri is not null").select("s", "p", "uri", uri_namespace(F.col("uri")).alias("ns")).distinct()
-    old = existing.where(F.col("p").isin(*MATCHES.values())).select("s", "p", F.col("o").alias("existing_uri"), uri_namespace(F.col("o")).alias("ns"))
+    new = mappings.withColumn("p", F.element_at(known, F.lower(strip(F.col("match_type"))))).withColumn("uri", strip(F.col("uri"))).where("p is not null and uri <> ''").select("s", "p", "uri", uri_namespace(F.col("uri")).alias("ns")).distinct()
+    old = existing.where(F.col("p").isin(*PUBLIC.matches)).select("s", "p", F.col("o").alias("existing_uri"), uri_namespace(F.col("o")).alias("ns"))
     first_old = old.groupBy("s", "p", "ns").agg(F.min("existing_uri").alias("existing_uri"), F.collect_set("existing_uri").alias("all_old"))
     seen = new.join(first_old, ["s", "p", "ns"], "left").withColumn("first_new", F.min("uri").over(Window.partitionBy("s", "p", "ns")))
     held = F.coalesce("existing_uri", "first_new")
@@ -89,12 +101,12 @@ def conflicts(mappings: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def resolved(triples: DataFrame, choices: DataFrame) -> DataFrame:
-    """J14. Triples after choices (s, p, existing_uri, new_uri, choice): 'keep', 'replace', or 'both' (the new one as skos:closeMatch)."""
+    """J14. Triples after choices (s, p, existing_uri, new_uri, choice): 'keep', 'replace', or 'both' (the new one as a close match)."""
     replaced = choices.where("choice = 'replace'")
     kept = triples.join(replaced.select("s", "p", F.col("existing_uri").alias("o")).distinct(), ["s", "p", "o"], "left_anti")
     rest = {c: F.lit(None).cast(t) for c, t in triples.dtypes if c not in ("s", "p", "o")}
     iri = {"o_kind": F.lit("iri")} if "o_kind" in rest else {}
-    put = replaced.select("s", "p", F.col("new_uri").alias("o")).unionByName(choices.where("choice = 'both'").select("s", F.lit("skos:closeMatch").alias("p"), F.col("new_uri").alias("o")))
+    put = replaced.select("s", "p", F.col("new_uri").alias("o")).unionByName(choices.where("choice = 'both'").select("s", F.lit(PUBLIC.matches[1]).alias("p"), F.col("new_uri").alias("o")))
     return kept.unionByName(put.withColumns({**rest, **iri}) if rest else put).distinct()
 
 
@@ -121,10 +133,18 @@ def assign_prefixes(uris: DataFrame, prefixes: DataFrame) -> DataFrame:
     namespace is bound as far as all its uris share a path. The first binding of
     a prefix, by length of the listed namespace, stands.
 
-    The list is small by nature; uris meet it by the namespaces' first 12 letters.
+    Uris meet the list by their scheme and host, which each namespace has in
+    full; a listed namespace without a host is met by its first letters as far as
+    its shortest kin goes, so none is left out.
     """
     listed = prefixes.groupBy("namespace").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "prefix"))), lambda x: x["prefix"]).alias("names"))
-    pairs = uris.select("uri").distinct().withColumn("k", F.substring("uri", 1, 12)).join(F.broadcast(listed.withColumn("k", F.substring("namespace", 1, 12))), "k").where(F.col("uri").startswith(F.col("namespace")) & (F.length("namespace") >= 12)).drop("k")
+    # A namespace that ends within the host part ("http://x") is met by its scheme alone.
+    host, scheme = r"^[A-Za-z][\w+.-]*://[^/#?]+[/#?]", r"^[A-Za-z][\w+.-]*:"
+    key = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, host, 0), F.lit("")), F.nullif(F.regexp_extract(c, scheme, 0), F.lit("")), F.substring(c, 1, 1))
+    keyed = listed.where("namespace <> ''").withColumn("k", key(F.col("namespace")))
+    own = F.filter(F.array(F.regexp_extract("uri", host, 0), F.regexp_extract("uri", scheme, 0), F.substring("uri", 1, 1)), lambda k: k != "")
+    met = uris.select("uri").where("uri <> ''").distinct().select("uri", F.explode(F.array_distinct(own)).alias("k"))
+    pairs = met.join(keyed, "k").where(F.col("uri").startswith(F.col("namespace"))).drop("k")
     local = F.lower(F.substring("uri", F.length("namespace") + 1, F.length("uri")))
     votes = pairs.select("namespace", "names", F.posexplode("names").alias("i", "prefix"), "uri").withColumn("hit", F.when(F.substring(local, F.lit(1), F.length("prefix")) == F.lower("prefix"), 1).otherwise(0))
     score = votes.groupBy("namespace", "prefix", "i").agg(F.sum("hit").alias("hits"), F.max(F.size("names")).alias("names"))
@@ -139,21 +159,28 @@ def assign_prefixes(uris: DataFrame, prefixes: DataFrame) -> DataFrame:
     return shared.groupBy("prefix").agg(F.max_by(F.struct(bound.alias("bound"), "n"), F.struct(F.length("namespace"), "namespace")).alias("b")).select("prefix", F.col("b.bound").alias("namespace"), F.col("b.n").alias("uris"))
 
 
-def turtle(triples: DataFrame, prefixes: Mapping[str, str]) -> DataFrame:
-    """K3/T7. (class, s, block): one Turtle block per subject; schemes come before concepts and others, properties in their order.
+def turtle(triples: DataFrame, prefixes: Mapping[str, str], voc: Vocabulary = PUBLIC, graph: str | None = None) -> DataFrame:
+    """K3/T7. (class, s, block): one Turtle block per subject (with ``graph``, a column, per graph and subject); schemes come before concepts and others, properties in their order.
 
-    A subject's triples are gathered to its block, as the format asks for it.
+    IRIs are shortened by the given and the public prefixes, those of schemes and
+    subjects stand in full. A subject's triples are gathered to its block, as the
+    format asks for it.
     """
+    known = {**NAMESPACES, **prefixes}
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ORDER)), F.col("p")), F.lit(0)), F.lit(len(ORDER) + 1))
-    full = F.col("p").isin("skos:inScheme")
-    curie = F.col("o").rlike(r"^[a-z]+:[A-Za-z]\w*$")
-    iri = F.when(full, F.concat(F.lit("<"), "o", F.lit(">"))).when(curie, F.col("o")).otherwise(turtle_iri(F.col("o"), prefixes))
-    obj = F.when(F.col("o_kind") == "literal", turtle_literal(F.col("o"), F.col("o_lang"))).when(F.col("o_kind") == "bnode", F.concat(F.lit("_:"), "o")).otherwise(iri)
-    props = triples.where("p <> 'rdf:type'").groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_set(obj)), ", ").alias("objects"))
-    lines = props.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "p", "objects"))).alias("props"))
-    kinds = triples.where("p = 'rdf:type'").groupBy("s").agg(F.array_sort(F.collect_set("o")).alias("types"))
-    body = F.transform(F.coalesce("props", F.array().cast("array<struct<r:int,p:string,objects:string>>")), lambda x: F.concat(x["p"], F.lit(" "), x["objects"]))
-    head = F.when(F.col("types").isNotNull(), F.array(F.concat(F.lit("a "), F.array_join("types", ", ")))).otherwise(F.array().cast("array<string>"))
-    block = F.concat(F.lit("<"), "s", F.lit("> "), F.array_join(F.concat(head, body), " ;\n    "), F.lit(" ."))
-    order = F.when(F.array_contains("types", "skos:Concept"), 1).when(F.array_contains("types", "skos:ConceptScheme"), 0).otherwise(2)
-    return kinds.join(lines.withColumn("props", F.col("props").cast("array<struct<r:int,p:string,objects:string>>")), "s", "full").select(F.coalesce(order, F.lit(2)).alias("class"), "s", block.alias("block"))
+    node = F.when(F.col("p") == voc.in_scheme, F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(turtle_iri(F.col("o"), known))
+    blank = lambda c: F.concat(F.lit("_:"), F.regexp_replace(c, "^_:", ""))
+    obj = F.when(F.col("o_kind") == "literal", turtle_literal(F.col("o"), F.col("o_lang"))).when(F.col("o_kind") == "bnode", blank(F.col("o"))).otherwise(node)
+    # One shuffle by subject: types, and properties with their objects.
+    keys = ["s", graph] if graph else ["s"]
+    gathered = triples.groupBy(*keys, "p").agg(F.array_sort(F.collect_set(obj)).alias("objects"), F.array_sort(F.collect_set("o")).alias("plain")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("p") != voc.type, F.struct(rank.alias("r"), "p", "objects")))).alias("props"),
+        F.first(F.when(F.col("p") == voc.type, F.struct("objects", "plain")), ignorenulls=True).alias("types"),
+    )
+    body = F.transform("props", lambda x: F.concat(turtle_iri(x["p"], known), F.lit(" "), F.array_join(x["objects"], ", ")))
+    head = F.when(F.col("types").isNotNull(), F.array(F.concat(F.lit("a "), F.array_join("types.objects", ", ")))).otherwise(F.array().cast("array<string>"))
+    subject = F.when(F.col("s").rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & ~F.col("s").startswith("_:"), F.concat(F.lit("<"), "s", F.lit(">"))).otherwise(blank(F.col("s")))
+    block = F.concat(subject, F.lit(" "), F.array_join(F.concat(head, body), " ;\n    "), F.lit(" ."))
+    has = lambda kind: F.coalesce(F.array_contains("types.plain", kind), F.lit(False))
+    order = F.when(has(voc.concept), 1).when(has(voc.concept_scheme), 0).otherwise(2)
+    return gathered.select(order.alias("class"), *keys, block.alias("block"))

@@ -6,11 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from semloom.functions.text import WHITE
 from semloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def sql_strip(c: str) -> str:
+    """SQL for ``functions.text.strip``."""
+    return f"regexp_replace({c}, '^{WHITE}+|{WHITE}+$', '', 'g')"
+
+
+#: Characters that stand for those beyond ASCII where SQL counts bytes.
+_STAND_INS = "||".join(f"chr({i})" for i in (*range(1, 9), *range(14, 32), 127))
+
+
+def sql_levenshtein(a: str, b: str) -> str:
+    """SQL for the edit similarity of two texts in code points, lower case.
+
+    The edit distance of that SQL counts bytes, so the characters beyond ASCII of
+    both texts (27 kinds at most) are first replaced by control characters, equal
+    ones by equal ones, which leaves the distance as it is.
+    """
+    x, y = f"lower({a})", f"lower({b})"
+    kinds = f"array_to_string(list_sort(list_distinct(string_split(regexp_replace({x} || {y}, '[\\x00-\\x7f]+', '', 'g'), ''))), '')"
+    plain = lambda t: f"translate({t}, {kinds}, {_STAND_INS})"
+    distance = f"case when strlen({x}) = length({x}) and strlen({y}) = length({y}) then levenshtein({x}, {y}) else levenshtein({plain(x)}, {plain(y)}) end"
+    return f"case when greatest(length({x}), length({y})) = 0 then 1.0 else 1.0e0 - cast({distance} as double) / cast(greatest(length({x}), length({y})) as double) end"
+
+
 class Queries:
     """Queries and SQL of one module, filled by its decorator."""
 

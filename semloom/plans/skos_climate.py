@@ -9,7 +9,7 @@ from semloom.functions.text import comma_list
 from semloom.operators import climate as C
 from semloom.operators import skos as K
 from semloom.plans.graph import T as TRIPLES
-from semloom.plans.graph import triples
+from semloom.plans.graph import V, full, triples
 from semloom.plans.query import Queries
 
 query = Queries()
@@ -58,18 +58,18 @@ def _wide(load) -> DataFrame:
 _SLUG = "regexp_replace(regexp_replace(lower(regexp_replace({c}, '[^\\w\\s-]', '', 'g')), '^\\s+|\\s+$', '', 'g'), '[-\\s]+', '-', 'g')"
 
 
-@query(TRIPLES + f""", m as (select *, list_filter(list_transform(string_split(coalesce(altlabels, ''), ','), lambda x: {_STRIP.format(c="x")}), lambda x: x <> '') as alts from master_mapping
+@query(TRIPLES + full(f""", m as (select *, list_filter(list_transform(string_split(coalesce(altlabels, ''), ','), lambda x: {_STRIP.format(c="x")}), lambda x: x <> '') as alts from master_mapping
   where regexp_full_match(concat_ws('', term, altlabels, conceptgroup), '[\\x20-\\x7f]*') and {_STRIP.format(c="coalesce(term, '')")} <> ''),
 c as (select s from triples where p = 'rdf:type' and o = 'skos:Concept'),
 pn as (select o, min(s) as s from triples where p = 'skos:prefLabel' and s in (select s from c) group by 1), an as (select o, min(s) as s from triples where p = 'skos:altLabel' and s in (select s from c) group by 1),
 ba as (select term, min(an.s) as s from (select term, unnest(alts) as alt from m) x join an on an.o = x.alt group by 1),
 mi as (select term, arg_min('https://sem.example/concept/' || case when {_STRIP.format(c="coalesce(conceptgroup, '')")} <> '' then {_SLUG.format(c="conceptgroup")} || '/' else '' end || {_SLUG.format(c="term")}, row_id) as s from m group by 1)
-select mi.term, coalesce(pn.s, ba.s, mi.s) as concept, (pn.s is null and ba.s is null) as is_new from mi left join pn on pn.o = mi.term left join ba on ba.term = mi.term""")
+select mi.term, coalesce(pn.s, ba.s, mi.s) as concept, (pn.s is null and ba.s is null) as is_new from mi left join pn on pn.o = mi.term left join ba on ba.term = mi.term"""))
 def j12_concept_of_term(load):
     """J12. The concept that each term of the wide table goes to, and whether it is new."""
     t = triples(load)
     up = K.upsert(_wide(load).withColumn("definitions", F.array("term")).withColumn("alt_label", F.col("alt_label")), t, "https://sem.example/")
-    return up.where("p = 'skos:definition'").select(F.col("o").alias("term"), F.col("s").alias("concept"), "is_new")
+    return up.where(F.col("p") == V.definition).select(F.col("o").alias("term"), F.col("s").alias("concept"), "is_new")
 
 
 @query()
@@ -81,20 +81,20 @@ def j12_upsert(load):
 @query("""with new as (select distinct 'c:' || term_id as s, uri, regexp_replace(uri, '/[^/]*$', '') as ns from suggestion where regexp_matches(uri, '^https?://') and provider = 'olx'),
 old as (select 'c:' || term_id as s, min(uri) as uri, list(distinct uri) as all_old, regexp_replace(uri, '/[^/]*$', '') as ns from suggestion where regexp_matches(uri, '^https?://') and provider = 'localgraph' group by 1, 4),
 f as (select new.*, old.uri as held, old.all_old, min(new.uri) over (partition by new.s, new.ns) as first_new from new left join old using (s, ns))
-select s, 'skos:exactMatch' as p, coalesce(held, first_new) as existing_uri, uri as new_uri from f where uri <> coalesce(held, first_new) and not coalesce(list_contains(all_old, uri), false)""")
+select s, 'http://www.w3.org/2004/02/skos/core#exactMatch' as p, coalesce(held, first_new) as existing_uri, uri as new_uri from f where uri <> coalesce(held, first_new) and not coalesce(list_contains(all_old, uri), false)""")
 def j13_conflicts(load):
     """J13. Mappings of one provider that conflict with those of another."""
     s = load("suggestion").where(F.col("uri").rlike("^https?://")).withColumn("s", F.concat(F.lit("c:"), "term_id"))
     new = s.where("provider = 'olx'").select("s", F.lit(" SKOS:exactMatch ").alias("match_type"), "uri")
-    old = s.where("provider = 'localgraph'").select("s", F.lit("skos:exactMatch").alias("p"), F.col("uri").alias("o"))
+    old = s.where("provider = 'localgraph'").select("s", F.lit(V.matches[0]).alias("p"), F.col("uri").alias("o"))
     return K.conflicts(new, old)
 
 
-@query("""with t as (select distinct 'map:' || row_id as s, 'skos:exactMatch' as p, uri1 as o from master_mapping where uri1 <> ''),
+@query(full("""with t as (select distinct 'map:' || row_id as s, 'skos:exactMatch' as p, uri1 as o from master_mapping where uri1 <> ''),
 c as (select distinct s, p, o as existing_uri, o || '#new' as new_uri, list_extract(['keep', 'replace', 'both'], cast(1 + cast(substr(s, 5) as bigint) % 3 as integer)) as choice from t)
-select s, p, o from t where not exists (select 1 from c where c.s = t.s and choice = 'replace') union select s, p, new_uri from c where choice = 'replace' union select s, 'skos:closeMatch', new_uri from c where choice = 'both'""")
+select s, p, o from t where not exists (select 1 from c where c.s = t.s and choice = 'replace') union select s, p, new_uri from c where choice = 'replace' union select s, 'skos:closeMatch', new_uri from c where choice = 'both'"""))
 def j14_resolution(load):
-    t = load("master_mapping").where("uri1 <> ''").select(F.concat(F.lit("map:"), "row_id").alias("s"), F.lit("skos:exactMatch").alias("p"), F.col("uri1").alias("o"), (F.col("row_id") % 3).alias("r"))
+    t = load("master_mapping").where("uri1 <> ''").select(F.concat(F.lit("map:"), "row_id").alias("s"), F.lit(V.matches[0]).alias("p"), F.col("uri1").alias("o"), (F.col("row_id") % 3).alias("r"))
     choice = F.element_at(F.array(*map(F.lit, ("keep", "replace", "both"))), (F.col("r") + 1).cast("int"))
     choices = t.select("s", "p", F.col("o").alias("existing_uri"), F.concat("o", F.lit("#new")).alias("new_uri"), choice.alias("choice"))
     return K.resolved(t.drop("r"), choices)

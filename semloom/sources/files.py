@@ -17,17 +17,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SEPARATORS = (",", ";", "\t")
 
 
-def read_csv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, required: Sequence[str] = (), breaks: bool = True) -> DataFrame:
     """S1. A table with a header: the first of ``, ; tab`` that cuts it into more than one column; blanks after it and a byte order mark don't count.
 
-    Only the first line is looked at. A file of one column, or without a required column, is an error.
+    Only the first line is looked at. A file of one column, or without a required column, is an error. Values may hold line
+    breaks; for files known to have none, ``breaks=False`` lets Spark split each file among tasks.
     """
     head = spark.read.text(path).first()
     line = (head[0] if head else "").lstrip("﻿")
     sep = next((s for s in SEPARATORS if len(line.split(s)) > 1), None)
     if sep is None:
         raise ValueError(f"{path}: no separator found")
-    df = spark.read.csv(path, sep=sep, header=True, ignoreLeadingWhiteSpace=True, encoding="UTF-8", multiLine=True, escape='"')
+    df = spark.read.csv(path, sep=sep, header=True, ignoreLeadingWhiteSpace=True, encoding="UTF-8", multiLine=breaks, escape='"')
     df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
     lacking = [c for c in required if c not in df.columns]
     if lacking:
@@ -74,31 +75,43 @@ class Workbook(DataSource):
         return "workbook"
 
     def _files(self) -> list[str]:
-        import glob
-        import os
+        place, path = file_system(self.options["path"])
+        info = place.get_file_info(path)
+        if info.is_file:
+            return [path]
+        import pyarrow.fs as fs
 
-        path = re.sub("^file://", "", self.options["path"])
-        return sorted(glob.glob(os.path.join(path, "*.xlsx")) if os.path.isdir(path) else glob.glob(path))
+        return sorted(f.path for f in place.get_file_info(fs.FileSelector(path)) if f.is_file and f.path.lower().endswith(".xlsx"))
 
     def schema(self) -> str:
-        with open(self._files()[0], "rb") as f:
-            head = workbook_rows(f.read(), int(self.options.get("sheet", 1)))[0]
+        head = workbook_rows(read_bytes(self.options["path"], self._files()[0]), int(self.options.get("sheet", 1)))[0]
         return ", ".join(f"`{(h or f'_c{i}').strip().replace('`', '')}` string" for i, h in enumerate(head))
 
     def reader(self, schema) -> DataSourceReader:
-        return WorkbookReader(self._files(), int(self.options.get("sheet", 1)), len(schema.fields))
+        return WorkbookReader(self.options["path"], self._files(), int(self.options.get("sheet", 1)), len(schema.fields))
+
+
+def file_system(path: str):
+    """(file system, path there) of a path or URI: local, HDFS or an object store, as Arrow knows them."""
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+://|file:", path) else (fs.LocalFileSystem(), path)
+
+
+def read_bytes(root: str, path: str) -> bytes:
+    with file_system(root)[0].open_input_stream(path) as f:
+        return f.read()
 
 
 class WorkbookReader(DataSourceReader):
-    def __init__(self, files: list[str], sheet: int, width: int):
-        self.files, self.sheet, self.width = files, sheet, width
+    def __init__(self, root: str, files: list[str], sheet: int, width: int):
+        self.root, self.files, self.sheet, self.width = root, files, sheet, width
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(f) for f in self.files]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            rows = workbook_rows(f.read(), self.sheet)
+        rows = workbook_rows(read_bytes(self.root, partition.value), self.sheet)
         for row in rows[1:]:
             yield tuple((row + [None] * self.width)[: self.width])
 
@@ -150,10 +163,8 @@ def sbml_links(models: DataFrame, xml: str, *keep: str) -> tuple[DataFrame, Data
 def metadata_parameters(members: DataFrame) -> DataFrame:
     """S11. (archive, param_id): distinct ids of parameters in every metadata.json of archives (upper and lower case alike)."""
     docs = members.where(F.lower("member").endswith("metadata.json")).select("archive", F.try_parse_json(F.col("content").cast("string")).alias("v"))
-    params = F.variant_get("v", "$.modelMath.parameter", "array<variant>")
     one = F.try_variant_get("v", "$.modelMath.parameter.id", "string")
     try_ids = F.transform(F.coalesce(F.try_variant_get("v", "$.modelMath.parameter", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.try_variant_get(p, "$.id", "string"))
-    del params
     return docs.select("archive", F.explode(F.concat(try_ids, F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>")))).alias("param_id")).where("param_id <> ''").distinct()
 
 

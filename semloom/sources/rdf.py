@@ -9,7 +9,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "g string, s string, p string, o string, o_kind string, o_lang string, o_dtype string"
@@ -28,7 +28,7 @@ _TOKEN = re.compile(
     |(?P<bnode>_:[\w][\w.-]*(?<!\.))
     |(?P<name>(?:[A-Za-z_][\w.-]*(?<!\.))?:(?:[\w:%\\-](?:[\w:%.\\~!$&'()*+,;=/?@-]*[\w:%\\-])?)?)
     |(?P<word>a\b|true\b|false\b)
-    |(?P<mark>[;,.\[\]()])""",
+    |(?P<mark>[;,.\[\](){}])""",
     re.X | re.S,
 )
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
@@ -50,6 +50,9 @@ class Turtle:
         self.salt = hashlib.md5(source.encode()).hexdigest()[:8]
         self.blank = 0
         self.out: list[tuple] = []
+        self.graph: str | None = None
+        self.inside = False  # a graph of TriG
+        self.graphs: list[str | None] = []
 
     @staticmethod
     def _tokens(text: str) -> list[tuple[str, str]]:
@@ -83,6 +86,7 @@ class Turtle:
 
     def emit(self, s: tuple, p: str, o: tuple) -> None:
         self.out.append((s[0], p, *o))
+        self.graphs.append(self.graph)
 
     def parse(self) -> list[tuple]:
         while self.peek()[0] != "end":
@@ -97,14 +101,25 @@ class Turtle:
                 if text[0] == "@":
                     self.next(".")
                 continue
+            if text == "}" and self.inside:
+                self.next()
+                self.graph, self.inside = None, False
+                continue
+            if text == "{" or self.tokens[self.at + 1 : self.at + 2] == [("mark", "{")]:
+                self.graph = None if text == "{" else self.term()[0]
+                self.next("{")
+                self.inside = True
+                continue
             s = self.term()
-            if not (text == "[" and self.peek()[1] == "."):
+            if not (text == "[" and self.peek()[1] in ".}"):
                 self.properties(s, ".")
-            self.next(".")
+            # The last statement of a graph needs no full stop.
+            if not (self.inside and self.peek()[1] == "}"):
+                self.next(".")
         return self.out
 
     def properties(self, s: tuple, end: str) -> None:
-        while self.peek()[1] != end:
+        while self.peek()[1] != end and not (self.inside and self.peek()[1] == "}"):
             kind, text = self.next()
             p = RDF + "type" if text == "a" else self.iri(text) if kind == "iri" else self.expand(text)
             while True:
@@ -243,13 +258,15 @@ def json_ld(text: str, source: str = "") -> list[tuple]:
 
 
 def parse(text: str, source: str) -> list[tuple]:
-    """S3. Triples (s, p, o, o_kind, o_lang, o_dtype) by the file's extension."""
+    """S3. (g, s, p, o, o_kind, o_lang, o_dtype) by the file's extension; g is the source, or the named graph of TriG."""
     kind = source.rsplit(".", 1)[-1].lower()
     if kind in ("rdf", "owl", "xml"):
-        return rdf_xml(text, source)
+        return [(source, *r) for r in rdf_xml(text, source)]
     if kind in ("jsonld", "json"):
-        return json_ld(text, source)
-    return Turtle(text, source).parse()
+        return [(source, *r) for r in json_ld(text, source)]
+    turtle = Turtle(text, source)
+    rows = turtle.parse()
+    return [(g or source, *r) for g, r in zip(turtle.graphs, rows)]
 
 
 def read_rdf(spark: SparkSession, *paths: str) -> DataFrame:
@@ -266,22 +283,40 @@ def read_rdf(spark: SparkSession, *paths: str) -> DataFrame:
                     rows = parse(bytes(content).decode("utf-8-sig"), path)
                 except Exception as e:
                     raise ValueError(f"{path}: {e}") from e
-                yield pd.DataFrame([(path, *r) for r in rows], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     files = spark.read.format("binaryFile").load([*paths]).select("path", "content")
     return files.mapInPandas(run, SCHEMA).dropDuplicates(["s", "p", "o", "o_kind", "o_lang", "o_dtype"])
 
 
-def read_ntriples(spark: SparkSession, *paths: str) -> DataFrame:
-    """Triples of N-Triples files by lines, with built-in expressions only; lines that are no triple are left out."""
-    rule = r'^\s*(?:<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|_:(\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
+def unescaped(c: Column) -> Column:
+    """The text that an escaped literal or iri stands for, in one pass over its escapes; texts without a backslash are left as they are."""
+    rule = r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)|[^\\]+"
+    plain = F.create_map(*(F.lit(x) for kv in (("t", "\t"), ("n", "\n"), ("r", "\r"), ("b", "\b"), ("f", "\f")) for x in kv))
+    code = lambda x: F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
+    one = lambda x: F.when(F.length(x) > 2, code(x)).otherwise(F.coalesce(F.element_at(plain, F.substring(x, 2, 1)), F.substring(x, 2, 1)))
+    pieces = F.transform(F.regexp_extract_all(c, F.lit("(?s)" + rule), F.lit(0)), lambda x: F.when(x.startswith("\\"), one(x)).otherwise(x))
+    return F.when(c.contains("\\"), F.array_join(pieces, "")).otherwise(c)
+
+
+def read_ntriples(spark: SparkSession, *paths: str, bad: str = "fail") -> DataFrame:
+    """Triples of N-Triples or N-Quads files by lines, with built-in expressions only; files are split.
+
+    Blank lines and comments are no triples. Any other line that is none fails the
+    query with its text, or with ``bad='keep'`` becomes a row that holds it in
+    ``bad`` and nulls elsewhere.
+    """
+    rule = r'^\s*(?:<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|_:(\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*(?:<([^>]*)>\s*)?\.\s*(?:#.*)?$'
     part = lambda i: F.regexp_extract("value", rule, i)
-    lines = spark.read.text([*paths]).where(F.col("value").rlike(rule))
+    lines = spark.read.text([*paths]).where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+    fits = F.col("value").rlike(rule)
     kind = F.when(part(4) != "", "iri").when(part(5) != "", "bnode").otherwise("literal")
-    text = part(6)
-    for a, b in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return lines.select(F.lit(None).cast("string").alias("g"), F.when(part(1) != "", part(1)).otherwise(part(2)).alias("s"), part(3).alias("p"), F.when(part(4) != "", part(4)).when(part(5) != "", part(5)).otherwise(text).alias("o"), kind.alias("o_kind"), F.nullif(part(7), F.lit("")).alias("o_lang"), F.nullif(part(8), F.lit("")).alias("o_dtype"))
+    some = lambda i: F.nullif(part(i), F.lit(""))
+    obj = F.when(part(4) != "", unescaped(part(4))).when(part(5) != "", part(5)).otherwise(unescaped(part(6)))
+    row = F.struct(some(9).alias("g"), F.when(part(1) != "", unescaped(part(1))).otherwise(part(2)).alias("s"), unescaped(part(3)).alias("p"), obj.alias("o"), kind.alias("o_kind"), some(7).alias("o_lang"), some(8).alias("o_dtype"))
+    if bad == "keep":
+        return lines.select(F.when(fits, row).alias("t"), F.when(~fits, F.col("value")).alias("bad")).select("t.*", "bad")
+    return lines.select(F.when(fits, row).otherwise(F.raise_error(F.concat(F.lit("no triple: "), "value"))).alias("t")).select("t.*")
 
 
 # Properties of labels and synonyms.
@@ -294,10 +329,9 @@ def ontology_index(triples: DataFrame, mode: str = "all") -> tuple[DataFrame, Da
     """S5/S6. (index (space, label, label_norm, iri, ord), synonyms (syn_norm, canonical, ord)) of an ontology's triples.
 
     ``mode`` 'first' takes rdfs:label and the plain synonym property only, 'all'
-    also skos:prefLabel and the other synonym properties. The order is by iri and label.
+    also skos:prefLabel and the other synonym properties. The order is by iri and
+    label; ``ord`` grows in it, with gaps.
     """
-    from pyspark.sql import Window
-
     from semloom.functions.text import normalize
 
     labels, synonyms = (LABELS[:1], SYNONYMS[:1]) if mode == "first" else (LABELS, SYNONYMS)
@@ -305,8 +339,9 @@ def ontology_index(triples: DataFrame, mode: str = "all") -> tuple[DataFrame, Da
     typed = triples.where(F.col("p") == RDF + "type").select("s", F.element_at(kinds, F.col("o")).alias("space")).where("space is not null").distinct()
     named = triples.where(F.col("p").isin(*labels)).select("s", F.col("o").alias("label"))
     rows = typed.join(named, "s").distinct()
-    # Row numbers over a whole ontology: one sorted list, a reference of bounded size.
-    index = rows.select("space", "label", normalize(F.col("label")).alias("label_norm"), F.col("s").alias("iri"), F.row_number().over(Window.partitionBy("space").orderBy("s", "label")).cast("long").alias("ord"))
+    # The order is that of iri and label; each range of the sorted rows is numbered by itself, after the rows of the ranges before it.
+    ranged = rows.select("space", F.col("label"), F.col("s").alias("iri")).repartitionByRange("space", "iri", "label").sortWithinPartitions("space", "iri", "label").withColumn("i", F.monotonically_increasing_id())
+    index = ranged.select("space", "label", normalize(F.col("label")).alias("label_norm"), "iri", F.col("i").alias("ord"))
     first = named.groupBy("s").agg(F.min("label").alias("canonical"))
     syn = triples.where(F.col("p").isin(*synonyms)).select("s", F.col("o").alias("syn")).join(first, "s")
     syn = syn.groupBy(normalize(F.col("syn")).alias("syn_norm")).agg(F.min(F.struct("s", "canonical")).alias("b")).select("syn_norm", "b.canonical", F.crc32("syn_norm").alias("ord"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semloom.operators import cache, cascade, climate, graph, inference, nested, reconcile, skos
+from semloom.operators.vocabulary import iri
 from semloom.streaming.resample import stream_resample
 
 
@@ -56,13 +57,13 @@ def test_graph(spark):
 
 def test_skos(spark):
     rows = spark.createDataFrame([(1, "Wheat", "corn, Weizen", "Cereal Crops", ["d"], [" s "]), (2, "Wheat", None, None, [], []), (3, "Weizen2", "Weizen", None, [], []), (4, " ", "x", None, [], [])], "row_id long, term string, alt_label string, concept_group string, definitions array<string>, sources array<string>")
-    old = spark.createDataFrame([("http://o/w", "rdf:type", "skos:Concept"), ("http://o/w", "skos:altLabel", "Weizen")], "s string, p string, o string")
+    old = spark.createDataFrame([("http://o/w", iri("rdf:type"), iri("skos:Concept")), ("http://o/w", iri("skos:altLabel"), "Weizen")], "s string, p string, o string")
     got = {(r["s"], r["p"], r["o"]) for r in skos.upsert(rows, old.limit(0), "http://b/").collect()}
-    assert ("http://b/concept/cereal-crops/wheat", "skos:altLabel", "corn") in got and ("http://b/scheme/cereal-crops", "rdf:type", "skos:ConceptScheme") in got and ("http://b/concept/weizen2", "skos:prefLabel", "Weizen2") in got
-    assert {r["s"] for r in skos.upsert(rows, old, "http://b/").where("p = 'skos:altLabel'").collect()} == {"http://o/w"}
+    assert ("http://b/concept/cereal-crops/wheat", iri("skos:altLabel"), "corn") in got and ("http://b/scheme/cereal-crops", iri("rdf:type"), iri("skos:ConceptScheme")) in got and ("http://b/concept/weizen2", iri("skos:prefLabel"), "Weizen2") in got
+    assert {r["s"] for r in skos.upsert(rows, old, "http://b/").where(F.col("p") == iri("skos:altLabel")).collect()} == {"http://o/w"}
     m = spark.createDataFrame([("c", "SKOS:exactmatch ", "http://n/2"), ("c", "skos:exactMatch", "http://m/1"), ("c", "odd", "http://n/3"), ("c", None, "http://n/4")], "s string, match_type string, uri string")
-    e = spark.createDataFrame([("c", "skos:exactMatch", "http://n/1")], "s string, p string, o string")
-    assert [tuple(r) for r in skos.conflicts(m, e).collect()] == [("c", "skos:exactMatch", "http://n/1", "http://n/2")]
+    e = spark.createDataFrame([("c", iri("skos:exactMatch"), "http://n/1")], "s string, p string, o string")
+    assert [tuple(r) for r in skos.conflicts(m, e).collect()] == [("c", iri("skos:exactMatch"), "http://n/1", "http://n/2")]
     lines = spark.createDataFrame([("@prefix obo: <http://purl.example/obo/> .",), ("PREFIX mondo: <http://purl.example/obo/>",), ("nothing",)], "value string")
     p = skos.read_prefixes(lines)
     uris = spark.createDataFrame([("http://purl.example/obo/MONDO_1",), ("http://purl.example/obo/MONDO_2",), ("http://other/x",)], "uri string")
