@@ -1,8 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from semloom.operators.units import resolve_units, stated_units
+from semloom.operators.units import hidden_units, resolve_units, stated_units
 from semloom.session import table
 
 ROWS = [
@@ -33,7 +34,7 @@ def test_resolved_values(spark, data, frame):
     ref = table(spark, data, "unit_reference")
     got = {r["param_key"]: r for r in resolve_units(frame, ref, "param_key", "value", ["unittext", "unit_label"], ["description", "name"], "unitcategory").collect()}
     assert math.isclose(got[2]["common"], 26.85) and math.isclose(got[3]["common"], 18.9) and math.isclose(got[13]["common"], math.log10(560) + 3)
-    assert got[10]["unit_from"] == "inferred" and got[10]["uncertain"]
+    assert got[10]["unit_from"] == "unknown" and got[10]["unit_code"] is None and got[10]["uncertain"]
     assert 7 not in got and 9 not in got
 
 
@@ -52,3 +53,24 @@ def test_mixture_infers_scaled_units(spark, data):
 def test_empty(spark, data, frame):
     ref = table(spark, data, "unit_reference")
     assert resolve_units(frame.limit(0), ref, "param_key", "value", ["unittext"], ["description"], "unitcategory").count() == 0
+
+
+REF_SCHEMA = "unit_code string, quantity string, unit_name string, symbol string, common_unit string, transform_name string, factor double, shift double, iri string"
+
+
+def test_stated_unknown_units_stay_unknown(spark):
+    ref = spark.createDataFrame([("A", "mass", "gram", "g", "A", "none", 1.0, 0.0, None), ("B", "mass", "kilogram", "kg", "A", "none", 1000.0, 0.0, None)], REF_SCHEMA)
+    rows = [(i, f"{100 + i}", "g", None, "Weight of it", "mass") for i in range(40)] + [(100 + i, f"0.{100 + i}", "kg", None, "Weight of it", "mass") for i in range(40)]
+    rows += [(200, "120", "spoonful", None, "Weight of it", "mass"), (201, "0.12", None, "n/a", "Weight of it", "mass"), (202, "120 boxes", None, None, "Weight of it", "mass"), (203, "130", "-", None, "Weight of it (a remark)", "mass"), (204, "130", None, None, "Weight [spoons]", "mass"), (205, "5", None, None, "Other thing", None)]
+    df = spark.createDataFrame(rows, "k long, v string, u string, l string, d string, c string")
+    got = {r["k"]: (r["unit_from"], r["unit_code"], r["uncertain"]) for r in resolve_units(df, ref, "k", "v", ["u", "l"], ["d"], "c").where("k >= 200").collect()}
+    assert got == {200: ("unknown", None, True), 201: ("inferred", "B", False), 202: ("unknown", None, True), 203: ("inferred", "A", False), 204: ("unknown", None, True), 205: ("inferred", None, True)}
+    hidden = hidden_units(df, ref, "k", "v", ["u", "l"], ["d"], "c").collect()
+    assert len(hidden) == 80 and all(r["unit_code"] == r["inferred_unit"] for r in hidden if not r["uncertain"]) and sum(not r["uncertain"] for r in hidden) > 70
+
+
+def test_hidden_units_of_the_tables(spark, data):
+    from semloom.plans import registry
+
+    h = registry.QUERIES["p3_hidden"](spark, data.replace("0.001", "0.01")).where("not uncertain").agg(F.sum("n"), F.sum("n_right")).first()
+    assert h[0] > 100 and h[1] / h[0] >= 0.95
