@@ -17,14 +17,17 @@ def brute(rows, n):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topn, "GATHER", 50)
     monkeypatch.setattr(topn, "HOLD", 20)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
     rng = random.Random(4)
     rows = [(i, rng.choice([None, "", " ", "hot", "hot", *"abcdefgh"]), rng.choice([None, float("nan"), 0.0, -0.0, 0.5, 1.0, float("inf")]), rng.choice([None, "", "é", "z", "A", "a"]), 9, "clash") for i in range(1500)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     for n in (1, 3):
         got = {(r["suggestion_id"], r["place"]) for r in top_n(df, "uri", "score", "source_provider", "suggestion_id", n).collect()}
         assert got == brute(rows, n)
+    spark.conf.set(batch, before)
 
 
 def test_long_texts_and_empty(spark):
