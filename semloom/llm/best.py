@@ -2,12 +2,12 @@
 
 A record is dominated where another of its group is at least as complete in
 every field, at least as late and at least as trusted, and better in one of
-these. Records are first reduced, before and after the shuffle, to one per
-*cell* (group, completeness of each field, trust): the latest, then of smallest
-id. As completeness and trust have few values, a group of any size is a few
-hundred cells, so a group that holds a third of all rows is reduced on every
-map task and no task ever holds a whole group. The cells of a group are then
-peeled into dominance layers by array expressions.
+these. Records are shuffled once, by group, without their values, and reduced
+there to one per *cell* (group, completeness of each field, trust): the latest,
+then of smallest id. Rows of hot groups, found by counting hashes of the first
+group column, are reduced to cells before the shuffle too, so no task ever holds
+a hot group. The cells of a group are peeled into dominance layers by array
+expressions. Values are fetched at the end, for the chosen rows only.
 """
 
 from __future__ import annotations
@@ -42,30 +42,45 @@ def concept_of(uri: Column, ident: Column) -> Column:
     return F.when(uri.isNull() | uri.rlike(EMPTY), own).otherwise(decoded)
 
 
-def skyline_layers(
-    df: DataFrame, group: Mapping[str, Column], row_id: str, fields: Sequence[str], recency: str, trust: str,
-    cut: Sequence[str] = (), carry: bool = False,
-) -> DataFrame:
+#: Hashes of the first group column that are counted, and from how many rows of one hash on its groups are reduced before the shuffle.
+HASHES, HOT = 1 << 16, 20_000
+
+
+def skyline_layers(df: DataFrame, group: Mapping[str, Column], row_id: str, fields: Sequence[str], recency: str, trust: str, cut: Sequence[str] = (), hot: int = HOT) -> DataFrame:
     """One row per group of two rows or more: the group's columns, ``group_id`` (smallest row id), ``n_rows`` and ``cells``.
 
     ``cells`` is an array of structs (layer from 1, row_id, completeness of each
-    field as c0.., recency, trust, and with ``carry`` the fields' values), in the
-    order of the lexicographic policy: completeness field by field, then the
-    latest, the most trusted (smallest ``trust``) and the smallest id. A null
-    recency is the earliest, a null trust the least. Rows whose group has a null
-    column belong to no group. Equal rows fall in one cell, the smallest id
-    stands for them. Other columns are ignored, so their names can't clash.
+    field as c0.., recency, trust), in the order of the lexicographic policy:
+    completeness field by field, then the latest, the most trusted (smallest
+    ``trust``) and the smallest id. A null recency is the earliest, a null trust
+    the least. Rows whose group has a null column belong to no group. Equal rows
+    fall in one cell, the smallest id stands for them. Other columns are ignored,
+    so their names can't clash. A group has at most 3 cells per field and value of
+    ``trust``, which is to have few values.
     """
     g, c = [f"__g{i}" for i in range(len(group))], [f"c{i}" for i in range(len(fields))]
-    read = computed(
-        df, *(e.alias(n) for e, n in zip(group.values(), g)), col(row_id).cast("long").alias("__id"),
-        F.coalesce(F.unix_micros(col(recency).cast("timestamp")), F.lit(-(2**62))).alias("__r"), F.coalesce(col(trust).cast("int"), F.lit(2**31 - 1)).alias("__t"),
-        *(completeness(col(f), f in cut).alias(n) for f, n in zip(fields, c)), *(col(f).alias(f"v{i}") for i, f in enumerate(fields) if carry),
-    ).dropna(subset=g)
-    best = F.struct(F.col("__r").alias("r"), (-F.col("__id")).alias("i"), *(F.col(f"v{i}") for i in range(len(fields)) if carry))
-    cells = read.groupBy(*g, "__t", *c).agg(F.max(best).alias("b"), F.count(F.lit(1)).alias("n"), F.min("__id").alias("__id"))
-    cell = F.struct(*c, F.col("b.r").alias("r"), (-F.col("__t")).alias("t"), F.col("b.i").alias("i"), *(F.col(f"b.v{i}").alias(f"v{i}") for i in range(len(fields)) if carry))
-    groups = cells.groupBy(*g).agg(F.min("__id").alias("group_id"), F.sum("n").alias("n_rows"), F.collect_list(cell).alias("__cells")).where("n_rows > 1")
+    bucket = F.pmod(F.hash(next(iter(group.values()))), F.lit(HASHES))
+    # At most HASHES rows, whatever the data.
+    many = F.broadcast(df.groupBy(bucket.alias("__h")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).select("__h"))
+    marked = df.withColumn("__h", bucket)
+
+    def read(rows: DataFrame) -> DataFrame:
+        code = F.lit(0)
+        for f in fields:
+            code = code * 3 + completeness(col(f), f in cut).cast("int")
+        return computed(
+            rows, *(e.alias(n) for e, n in zip(group.values(), g)), (-col(row_id).cast("long")).alias("i"), F.coalesce(F.unix_micros(col(recency).cast("timestamp")), F.lit(-(2**62))).alias("r"),
+            F.coalesce(col(trust).cast("int"), F.lit(2**31 - 1)).alias("__t"), code.alias("__c"),
+        ).dropna(subset=g)
+
+    best = F.max(F.struct("r", "i")).alias("b")
+    cold = read(marked.join(many, "__h", "left_anti")).withColumns({"n": F.lit(1).cast("long"), "m": -F.col("i")})
+    reduced = read(marked.join(many, "__h", "left_semi")).groupBy(*g, "__t", "__c").agg(best, F.count(F.lit(1)).alias("n"), F.min(-F.col("i")).alias("m")).select(*g, F.col("b.i").alias("i"), F.col("b.r").alias("r"), "__t", "__c", "n", "m")
+    # Rows of a group are together from here on, so neither grouping shuffles again.
+    cells = cold.unionByName(reduced).repartition(*g).groupBy(*g, "__t", "__c").agg(best, F.sum("n").alias("n"), F.min("m").alias("m"))
+    digits = [F.pmod(F.floor(F.col("__c") / 3 ** (len(fields) - 1 - k)), F.lit(3)).cast("tinyint").alias(n) for k, n in enumerate(c)]
+    cell = F.struct(*digits, F.col("b.r").alias("r"), (-F.col("__t")).alias("t"), F.col("b.i").alias("i"))
+    groups = cells.groupBy(*g).agg(F.min("m").alias("group_id"), F.sum("n").alias("n_rows"), F.collect_list(cell).alias("__cells")).where("n_rows > 1")
     sorted_ = groups.select(*g, "group_id", "n_rows", F.reverse(F.array_sort("__cells")).alias("__cells"))
 
     def covers(y: Column, x: Column) -> Column:
@@ -74,17 +89,15 @@ def skyline_layers(
             out = out & (y[n] >= x[n])
         return out
 
-    kind = "array<struct<layer:int," + ",".join(f"{n}:tinyint" for n in c) + ",r:bigint,t:int,i:bigint" + "".join(f",v{i}:string" for i in range(len(fields)) if carry) + ">>"
+    kind = "array<struct<layer:int," + ",".join(f"{n}:tinyint" for n in c) + ",r:bigint,t:int,i:bigint>>"
 
     def placed(done: Column, x: Column) -> Column:
         # What dominates a cell comes before it in this order, so one pass gives all layers.
         above = F.aggregate(done, F.lit(0), lambda m, y: F.greatest(m, F.when(covers(y, x), y["layer"]).otherwise(0)))
-        return F.concat(done, F.array(F.struct((above + 1).alias("layer"), *(x[n].alias(n) for n in (*c, "r", "t", "i")), *(x[f"v{i}"].alias(f"v{i}") for i in range(len(fields)) if carry))))
+        return F.concat(done, F.array(F.struct((above + 1).alias("layer"), *(x[n].alias(n) for n in (*c, "r", "t", "i")))))
 
     layered = F.aggregate("__cells", F.array().cast(kind), placed)
-    out = F.transform(
-        layered, lambda x: F.struct(x["layer"].alias("layer"), (-x["i"]).alias("row_id"), *(x[n].alias(n) for n in c), x["r"].alias("recency"), (-x["t"]).alias("trust"), *(x[f"v{i}"].alias(f"v{i}") for i in range(len(fields)) if carry))
-    )
+    out = F.transform(layered, lambda x: F.struct(x["layer"].alias("layer"), (-x["i"]).alias("row_id"), *(x[n].alias(n) for n in c), x["r"].alias("recency"), (-x["t"]).alias("trust")))
     return computed(sorted_, *(F.col(n).alias(k) for n, k in zip(g, group)), "group_id", "n_rows", out.alias("cells"))
 
 
@@ -97,18 +110,24 @@ def survivors(layers: DataFrame) -> DataFrame:
     return layers.where(F.size(first) == 1).select("group_id", F.element_at(first, 1)["row_id"].alias("survivor_id"))
 
 
-def best_records(layers: DataFrame, group: Sequence[str], fields: Sequence[str]) -> DataFrame:
+def best_records(layers: DataFrame, df: DataFrame, row_id: str, group: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One record per group: the first of the skyline by the lexicographic policy, its gaps filled from the layers below.
 
     A field takes the fullest value of the first layer that has any; within a
-    layer the policy decides. ``layers`` has to carry the values. A field that
-    no record of the group fills is null.
+    layer the policy decides. The values are fetched from ``df`` by the ids of
+    the rows that were chosen. A field that no record of the group fills is null.
     """
 
-    def fill(i: int) -> Column:
+    def source(i: int) -> Column:
         filled = F.filter("cells", lambda x: x[f"c{i}"] > 0)
-        order = F.transform(filled, lambda x, k: F.struct((-x[f"c{i}"]).alias("c"), x["layer"].alias("l"), k.alias("k"), x[f"v{i}"].alias("v")))
-        return F.array_min(order)["v"]
+        return F.array_min(F.transform(filled, lambda x, k: F.struct((-x[f"c{i}"]).alias("c"), x["layer"].alias("l"), k.alias("k"), x["row_id"].alias("id"))))["id"]
 
     first = F.array_min(F.transform("cells", lambda x, k: F.struct(x["layer"].alias("l"), k.alias("k"), x["row_id"].alias("id"))))
-    return layers.select(*(col(g) for g in group), "group_id", "n_rows", first["id"].alias("survivor_id"), *(fill(i).alias(f"best_{f}") for i, f in enumerate(fields)))
+    chosen = computed(layers, *(col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("group_id").alias("__group"), F.col("n_rows").alias("__n"), first["id"].alias("__s"), F.array(*map(source, range(len(fields)))).alias("__from"))
+    asked = chosen.withColumn("__id", F.explode(F.array_distinct(F.concat(F.array("__s"), F.filter("__from", lambda x: x.isNotNull())))))
+    values = df.select(col(row_id).cast("long").alias("__id"), *(col(f).alias(f"__v{i}") for i, f in enumerate(fields)))
+    met = asked.join(values, "__id")
+    keys = [f"__g{i}" for i in range(len(group))]
+    taken = [F.max(F.when(F.get("__from", F.lit(i)) == F.col("__id"), F.col(f"__v{i}"))).alias(f"best_{f}") for i, f in enumerate(fields)]
+    out = met.groupBy("__group").agg(*(F.first(k).alias(k) for k in keys), F.first("__n").alias("n_rows"), F.first("__s").alias("survivor_id"), *taken)
+    return out.select(*(F.col(k).alias(g) for k, g in zip(keys, group)), F.col("__group").alias("group_id"), "n_rows", "survivor_id", *(f"best_{f}" for f in fields))

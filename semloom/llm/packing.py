@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from semloom.llm.tokens import chunks, encoder
 from semloom.session import col, shared_folder
 
-#: Pieces of a partition; some megabytes of sizes.
-PIECES = 50_000
+#: Pieces of a partition at most (some hundred megabytes), and how few are still worth a partition of their own while tasks are free.
+PIECES, FEW = 2_000_000, 50_000
 ROUNDS = 4
 
 
@@ -133,9 +133,11 @@ def pack(sizes: DataFrame, capacity: int = 2048, pieces: int = PIECES, rounds: i
     done = full.select("id", "piece", "start", "n", F.lit(0).cast("long").alias("offset"), F.concat_ws("-", F.lit("f"), "id", "piece").alias("container"))
     rest = filled.where(F.col("n") < capacity)
     kind = "id long, piece int, start long, n long, bin long, offset long, level int"
+    free = sizes.sparkSession.sparkContext.defaultParallelism
     for level in range(rounds):
         count = rest.count()
-        parts = max(1, -(-count // pieces))
+        # As few partitions as memory allows, as each keeps gaps of its own, but one for each free task.
+        parts = max(1, -(-count // pieces), min(free, count // min(FEW, pieces)))
         last = parts == 1 or level == rounds - 1
         spread = rest.repartition(parts, F.xxhash64("id", "piece", F.lit(level)))
         packed = spread.mapInPandas(_pack(capacity, level, last), kind).withColumn("part", F.spark_partition_id()).checkpoint()

@@ -16,18 +16,18 @@ from semloom.session import col, table
 FIELDS = ["uri", "label", "description", "source_provider"]
 
 
-def _suggestion_layers(spark: SparkSession, sf_dir: str, carry: bool) -> DataFrame:
+def _suggestion_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = {"term_id": col("term_id"), "concept": concept_of(col("uri"), col("id"))}
-    return skyline_layers(table(spark, sf_dir, "suggestion"), group, "suggestion_id", FIELDS, "retrieved_at", "provider_ord", cut=["description"], carry=carry)
+    return skyline_layers(table(spark, sf_dir, "suggestion"), group, "suggestion_id", FIELDS, "retrieved_at", "provider_ord", cut=["description"])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors(_suggestion_layers(spark, sf_dir, carry=False))
+    return survivors(_suggestion_layers(spark, sf_dir))
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best record of every concept of every term that has several rows."""
-    return best_records(_suggestion_layers(spark, sf_dir, carry=True), ["term_id", "concept"], FIELDS)
+    return best_records(_suggestion_layers(spark, sf_dir), table(spark, sf_dir, "suggestion"), "suggestion_id", ["term_id", "concept"], FIELDS)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,17 @@ SQL = {
     + """
 select group_id, min(suggestion_id) as survivor_id
 from s join m using (term_id, concept, c0, c1, c2, c3, r, t) where n > 1 group by group_id
+""",
+    "p2_records": _RANKED.replace("with s as", "with recursive s as")
+    + """, v as (select row_number() over (order by term_id, concept, c0, c1, c2, c3, t, r desc, suggestion_id) as u, s.* from s join (select term_id, concept, n from m) q using (term_id, concept) where n > 1
+  qualify row_number() over (partition by term_id, concept, c0, c1, c2, c3, t order by r desc, suggestion_id) = 1),
+e as (select x.u as lower, y.u as upper from v x join v y using (term_id, concept) where x.u <> y.u and y.c0 >= x.c0 and y.c1 >= x.c1 and y.c2 >= x.c2 and y.c3 >= x.c3 and y.r >= x.r and y.t <= x.t),
+w as (select u, 1 as level from v union select e.lower, level + 1 from w join e on e.upper = w.u),
+p as (select v.*, l.layer, row_number() over (partition by term_id, concept order by c0 desc, c1 desc, c2 desc, c3 desc, r desc, t, suggestion_id) as k from v join (select u, max(level) as layer from w group by u) l using (u)),
+f as (select term_id, concept, arg_min(suggestion_id, (layer, k)) as survivor_id, arg_min(suggestion_id, (-c0, layer, k)) filter (c0 > 0) as i0, arg_min(suggestion_id, (-c1, layer, k)) filter (c1 > 0) as i1,
+  arg_min(suggestion_id, (-c2, layer, k)) filter (c2 > 0) as i2, arg_min(suggestion_id, (-c3, layer, k)) filter (c3 > 0) as i3 from p group by 1, 2)
+select f.term_id, f.concept, m.group_id, m.n as n_rows, survivor_id, a.uri as best_uri, b.label as best_label, c.description as best_description, d.source_provider as best_source_provider
+from f join m on m.term_id = f.term_id and m.concept = f.concept left join suggestion a on a.suggestion_id = i0 left join suggestion b on b.suggestion_id = i1 left join suggestion c on c.suggestion_id = i2 left join suggestion d on d.suggestion_id = i3
 """,
     "p5_found": """
 select suggestion_id, cast(place as integer) as place from (
