@@ -1,51 +1,78 @@
-import numpy as np
+"""The finder on texts it wasn't fitted on: labelled by hand, and of the tables (texts that the trainer holds out)."""
+
+import re
+from collections import Counter
+from pathlib import Path
+
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from semloom.llm import pii
+from semloom.llm.pii import KINDS, MODEL, Model, find, find_personal, masked, redact
+from semloom.llm.pii_train import held_out, introduced_names, labels, towns
+
+MARK = {"n": "person_name", "e": "email", "p": "phone", "i": "id_number", "a": "street_address"}
+
+
+@pytest.fixture(scope="module")
+def model():
+    return Model(MODEL)
+
+
+def marked(line):
+    out, spans = "", []
+    for part in re.split(r"(\[[nepia]\|[^\]]*\])", line):
+        if m := re.fullmatch(r"\[([nepia])\|([^\]]*)\]", part):
+            spans.append((len(out), len(out) + len(m[2]), MARK[m[1]]))
+            part = m[2]
+        out += part
+    return out, spans
+
+
+def measured(pairs, model):
+    """Recall and precision by kind."""
+    found = find([t for t, _ in pairs], model)
+    hit, want, got = Counter(), Counter(), Counter()
+    for (_, spans), f in zip(pairs, found):
+        want.update(k for *_, k in spans)
+        got.update(k for *_, k in f)
+        hit.update(k for *_, k in set(spans) & set(f))
+    return {k: (hit[k] / max(1, want[k]), hit[k] / max(1, got[k])) for k in KINDS}
+
+
+def test_by_hand(model):
+    lines = [x for x in (Path(__file__).parent / "pii_hand.txt").read_text(encoding="utf-8").split("\n") if x and x[0] != "#"]
+    got = measured([marked(x) for x in lines], model)
+    assert len(lines) >= 100 and all(recall >= 0.85 and precision >= 0.85 for recall, precision in got.values()), got
 
-from semloom.llm.pii import MODEL, find, find_personal, masked, model, redact
-from semloom.llm.pii_train import given_names, labels
 
-TEXT = (
-    "Created by Amara J. Grivik <amara.grivik (at) lab (dot) example>. Best regards,\nNils Feovic\nul. Godaleska 161/7\n00-428 Stusborg\nTel. +49 (0) 30 / 23125333\n"
-    "The respondent (Quidvik, Oona, social security no. 926-24-9293) lives at Flat 3, 12 Helind Lane, Leostedt XV16 4KK. Deposit cat. no. 330-49-4521 was kept. Following Kithkaxman, the medium (agar@pH0.356) grew Busfeella grialtcathum."
-)
-WANT = {
-    ("person_name", "Amara J. Grivik"), ("email", "amara.grivik (at) lab (dot) example"), ("person_name", "Nils Feovic"), ("street_address", "ul. Godaleska 161/7\n00-428 Stusborg"), ("phone", "+49 (0) 30 / 23125333"),
-    ("person_name", "Quidvik, Oona"), ("id_number", "926-24-9293"), ("street_address", "Flat 3, 12 Helind Lane, Leostedt XV16 4KK"),
-}
+def test_held_out_texts_of_the_tables(model, data):
+    texts = pd.read_parquet(data.replace("0.001", "0.1") + "/documents.parquet")["text"].dropna().unique().tolist()
+    (given, surnames), known = introduced_names(texts), towns(texts)
+    pairs = []
+    for t in [t for t in texts if held_out(t)]:
+        found = pii.candidates(t)
+        pairs.append((t, [(a, b, k) for (k, a, b, _), y in zip(found, labels(t, found, given, surnames, known)) if y]))
+    got = measured(pairs, model)
+    assert len(pairs) > 300 and all(recall >= 0.95 and precision >= 0.95 for recall, precision in got.values()), got
 
 
-def test_places():
-    spans = find([TEXT], model(str(MODEL)))[0]
-    assert {(k, TEXT[a:b]) for a, b, k in spans} == WANT
-    assert all(b <= c for (_, b, _), (c, _, _) in zip(spans, spans[1:]))
+TEXT = "Samples were collected by Emre de Roovic at 39 Stoswick Street on 01/02/2020. Tel. 01632 960930, mail e.roovic@lab.example."
 
 
-def test_frame(spark):
-    rows = [(1, TEXT, "c"), (2, None, "c"), (3, "", "c"), (4, "  \n", "c"), (5, TEXT, "c"), (6, "😀 " + TEXT, "c"), (7, "lot 12, " * 40_000 + TEXT, "c")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    got = {}
+def test_rows_and_redaction(spark):
+    long_ = TEXT + " nothing of note here." * 20_000 + " " + TEXT
+    df = spark.createDataFrame([(1, TEXT, "x"), (2, None, "x"), (3, "", "x"), (4, " \n", "x"), (5, TEXT, "x"), (6, long_, "x")], "doc_id long, text string, kind string")
+    rows = {}
     for r in find_personal(df, "doc_id", "text").collect():
-        got.setdefault(r["doc_id"], set()).add((r["kind"], r["start_pos"], r["end_pos"]))
-    assert set(got) == {1, 5, 6, 7} and got[1] == got[5] and {(k, a + 2, b + 2) for k, a, b in got[1]} == got[6] and len(got[7]) == len(got[1])
+        rows.setdefault(r["doc_id"], set()).add((r["kind"], r["start_pos"], r["end_pos"]))
+    assert set(rows) == {1, 5, 6} and rows[1] == rows[5] and len(rows[6]) == 2 * len(rows[1])
+    assert {k for k, *_ in rows[1]} == {"person_name", "street_address", "phone", "email"}
     red = {r["doc_id"]: r["redacted"] for r in redact(df, "doc_id", "text").collect()}
-    assert red[2] is None and red[3] == "" and "[EMAIL]" in red[1] and "Grivik" not in red[1] and red[1].endswith("Busfeella grialtcathum.")
-    assert find_personal(df.limit(0), "doc_id", "text").count() == 0
+    assert red[1] == "Samples were collected by [PERSON_NAME] at [STREET_ADDRESS] on 01/02/2020. Tel. [PHONE], mail [EMAIL]." and red[2] is None and red[3] == "" and red[4] == " \n"
+    assert find_personal(df.limit(0), "doc_id", "text").count() == 0 and redact(df.where(F.lit(False)), "doc_id", "text").count() == 0
 
 
 def test_masked():
-    assert masked("abcdef", [(1, 2, "email"), (4, 6, "phone")]) == "a[EMAIL]cd[PHONE]" and masked("x", []) == "x"
-
-
-def test_held_out_accuracy():
-    """Against the trainer's own labels on texts the model wasn't fitted on (another scale of the tables)."""
-    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"].dropna().tolist()
-    from semloom.llm.pii import candidates
-
-    given = given_names(pd.read_parquet("/root/testdata/sf0.1/documents.parquet")["text"].dropna().tolist())
-    hit = made = right = 0
-    for text, spans in zip(texts, find(texts, model(str(MODEL)))):
-        found = candidates(text)
-        truth = {(a, b, k) for (k, a, b, _), y in zip(found, labels(text, found, given)) if y}
-        hit, made, right = hit + len(truth & set(spans)), made + len(spans), right + len(truth)
-    assert hit / made > 0.98 and hit / right > 0.97, (hit, made, right)
-    assert np.isfinite(hit)
+    assert masked("ab cd", [(0, 2, "email"), (3, 5, "phone")]) == "[EMAIL] [PHONE]"
