@@ -82,8 +82,8 @@ def near_pairs(q: DataFrame, o: DataFrame, least: float) -> DataFrame:
 
     Texts of ratio r share most trigrams: with at most d = (1 - r)(la + lb) / 2
     letters on a side that don't match, at least one of d + 1 pieces of the
-    shorter text stands unchanged in the other, so pairs are joined on trigrams
-    that are rare, and then bounded by length before the UDF.
+    shorter text stands unchanged in the other, so pairs are joined on their
+    trigrams, counted, and bounded by length before the UDF.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
     left = q.withColumn("g", F.explode(grams(F.col("q"))))
@@ -97,7 +97,7 @@ def near_pairs(q: DataFrame, o: DataFrame, least: float) -> DataFrame:
     return close.withColumn("ratio", sequence_ratio(F.col("q"), F.col("label"))).where(F.col("ratio") >= least)
 
 
-def map_vocabulary(queries: DataFrame, index: DataFrame, synonyms: DataFrame, custom: DataFrame | None = None, min_len: int = 3) -> DataFrame:
+def map_vocabulary(queries: DataFrame, index: DataFrame, synonyms: DataFrame, custom: DataFrame | None = None, min_len: int = 3, near: bool = True) -> DataFrame:
     """MT2. (category, field, text, iri, pass) of distinct values: custom mapping, exact, synonym, substring either way, ratio from 0.90.
 
     ``custom``: (category, field, q, iri), what was mapped before or by hand. A
@@ -123,6 +123,8 @@ def map_vocabulary(queries: DataFrame, index: DataFrame, synonyms: DataFrame, cu
     in_label = long_q.withColumn("g", F.substring("q", 1, min_len)).join(long_o.withColumn("g", F.explode(F.array_distinct(grams(F.col("label"))))), "g").where(F.col("label").contains(F.col("q")))
     in_query = long_q.withColumn("g", F.explode(F.array_distinct(grams(F.col("q"))))).join(long_o.withColumn("g", F.substring("label", 1, min_len)), "g").where(F.col("q").contains(F.col("label")))
     part = hit(in_label.drop("g").unionByName(in_query.drop("g")), 3)
+    if not near:
+        return q.select(*keys).join(best_rank(hits.unionByName(part), keys), keys, "left").select(*keys, "iri", "label", "pass", "score")
     left = open_.join(part.select(*keys).distinct(), keys, "left_anti")
     fuzzy = near_pairs(left.withColumns({"field": F.struct("category", "field")}), o, NEAR_LOOSE)
     fuzzy = fuzzy.withColumns({"category": F.col("field.category"), "field": F.col("field.field")})

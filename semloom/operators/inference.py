@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semloom.functions.text import comma_list, keyword_tokens, sequence_ratio, strip
+from semloom.functions.text import comma_list, keyword_tokens, levenshtein_at_least, levenshtein_similarity, sequence_ratio, strip
 from semloom.operators.containment import holding
 from semloom.operators.graph import removed
 from semloom.operators.vocabulary import Vocabulary
@@ -42,6 +42,19 @@ def letter_prefix(c: Column, least: float) -> Column:
 RARE = "zqxjkvbpygfwmucldrhsnioat e"
 
 
+def edit_pairs(a: DataFrame, x: str, b: DataFrame, y: str, least: float) -> DataFrame:
+    """(x, y, score) of all pairs of distinct texts whose edit similarity (X1) reaches ``least``.
+
+    A similarity s asks for s times the longer length of letters in common, so
+    the pairs share one of the rarest letters of both (``letter_prefix``); no text
+    is compared with all others.
+    """
+    prefix = lambda df, c: df.select(c).distinct().withColumn("__k", F.explode(F.array_distinct(letter_prefix(F.lower(c), 2 * least / (1 + least)))))
+    near = F.abs(F.length(x) - F.length(y)) <= F.floor(F.greatest(F.length(x), F.length(y)) * (1 - least) + 1e-9)
+    pairs = prefix(a, x).join(prefix(b, y), "__k").where(near).select(x, y).distinct()
+    return pairs.where(levenshtein_at_least(F.col(x), F.col(y), least)).withColumn("score", levenshtein_similarity(F.col(x), F.col(y)))
+
+
 def match_units(values: DataFrame, candidates: DataFrame, threshold: float = UNIT_THRESHOLD) -> DataFrame:
     """X9/X10. (text, display, score) of distinct units: equal 1, one held by the other 0.5 at least, else the matching-block ratio; the best from ``threshold`` on, the first of equals.
 

@@ -156,27 +156,119 @@ def to_triples(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("s", F.col("property").alias("p"), F.when(F.col("kind") == "object", F.col("me")).otherwise(F.col("value")).alias("o"), kind.alias("o_kind")).distinct()
 
 
+def expand(value: object, context: Mapping[str, object]) -> object:
+    """A JSON-LD value with all keys, types and ids in full; a key with a context of its own opens a scope. Keys that stand for nothing are left out; what isn't JSON-LD raises ValueError."""
+    if isinstance(value, list):
+        return [expand(v, context) for v in value]
+    if not isinstance(value, dict):
+        return value
+    if "@context" in value:
+        context = _merged(context, value["@context"])
+    if "@value" in value:
+        if isinstance(value["@value"], (dict, list)):
+            raise ValueError("@value is no scalar")
+        return {k: _iri(v, context) if k == "@type" else v for k, v in value.items()}
+    out: dict[str, object] = {}
+    for key, v in value.items():
+        if key == "@context":
+            continue
+        if key == "@id":
+            if not isinstance(v, str):
+                raise ValueError("@id is no text")
+            out[key] = _iri(v, context)
+        elif key == "@type":
+            types = v if isinstance(v, list) else [v]
+            if not all(isinstance(t, str) for t in types):
+                raise ValueError("@type is no text")
+            out[key] = [_iri(t, context, True) for t in types]
+        elif key.startswith("@"):
+            out[key] = expand(v, context)
+        else:
+            term = context.get(key)
+            iri = _iri(key, context, True)
+            inner = _merged(context, term["@context"]) if isinstance(term, dict) and "@context" in term else context
+            if ":" in iri:
+                held = expand(v, inner)
+                held = [_iri(x, context) if isinstance(x, str) else x for x in (held if isinstance(held, list) else [held])] if isinstance(term, dict) and term.get("@type") == "@id" else held
+                out[iri] = held if isinstance(held, list) else [held]
+    return out
+
+
+def _merged(context: Mapping[str, object], more: object) -> dict[str, object]:
+    out = dict(context)
+    for part in more if isinstance(more, list) else [more]:
+        if part is None:
+            out = {}
+        elif isinstance(part, dict):
+            out.update(part)
+        elif not isinstance(part, str):
+            raise ValueError("@context is neither an object nor an address")
+    return out
+
+
+def _iri(term: str, context: Mapping[str, object], vocab: bool = False) -> str:
+    for _ in range(len(context) + 1):
+        known = context.get(term) if not term.startswith("@") else None
+        known = known.get("@id") if isinstance(known, dict) else known
+        if vocab and isinstance(known, str) and known != term:
+            term = known
+            continue
+        prefix, colon, local = term.partition(":")
+        at = context.get(prefix)
+        at = at.get("@id") if isinstance(at, dict) else at
+        if colon and not local.startswith("//") and isinstance(at, str):
+            return _iri(at, context, True) + local if at != prefix else term
+        return term if colon or term.startswith("@") or not vocab else str(context.get("@vocab") or "") + term
+    raise ValueError(f"the context goes round at {term!r}")
+
+
+def compact(value: object, context: Mapping[str, object]) -> object:
+    """The reverse of ``expand`` for one context: full keys by their terms or prefixes, single values without their list."""
+    names = {_iri(k, context, True): k for k in context if not k.startswith("@")}
+    spaces = sorted(((full, k) for full, k in names.items() if full[-1:] in "/#:"), reverse=True)
+
+    def short(iri: str) -> str:
+        if iri in names:
+            return names[iri]
+        vocab = context.get("@vocab")
+        if isinstance(vocab, str) and iri.startswith(vocab):
+            return iri[len(vocab) :]
+        return next((f"{k}:{iri[len(full) :]}" for full, k in spaces if iri.startswith(full)), iri)
+
+    if isinstance(value, list):
+        return [compact(v, context) for v in value]
+    if not isinstance(value, dict):
+        return value
+    out = {}
+    for k, v in value.items():
+        v = [short(t) for t in v] if k == "@type" and isinstance(v, list) else compact(v, context)
+        out[k if k.startswith("@") else short(k)] = v[0] if isinstance(v, list) and len(v) == 1 else v
+    return out
+
+
 def validity(files: DataFrame, name: str, doc: str) -> DataFrame:
-    """J10/K6. (name, valid, message): whether a document is JSON, an object or list, and every '@id' a text."""
+    """J10/K6. (name, valid, message): whether a document is JSON-LD: it is expanded, compacted by its own context and expanded again, and has to come out the same."""
+
+    def check(text: str) -> None:
+        top = json.loads(text)
+        if not isinstance(top, (dict, list)):
+            raise ValueError("neither an object nor a list")
+        context = _merged({}, top.get("@context", {})) if isinstance(top, dict) else {}
+        full = expand(top, {})
+        again = compact(full, context)
+        # Keys that are in full after the first pass stay so; a scoped context may only be lost where it changed a key.
+        if expand(again if isinstance(again, list) else {"@context": context, **again}, {}) != full and not any(isinstance(v, dict) and "@context" in v for v in context.values()):
+            raise ValueError("compaction doesn't give the document back")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for n, text in zip(b["name"], b["doc"]):
                 try:
-                    top = json.loads(text)
-                    if not isinstance(top, (dict, list)):
-                        raise ValueError("neither an object nor a list")
-                    todo = [top]
-                    while todo:
-                        x = todo.pop()
-                        if isinstance(x, dict):
-                            if "@id" in x and not isinstance(x["@id"], str):
-                                raise ValueError("@id is no text")
-                            todo += x.values()
-                        elif isinstance(x, list):
-                            todo += x
+                    check(text)
                     out.append((n, True, "valid"))
+                except RecursionError:
+                    out.append((n, False, "nested too deep"))
                 except (TypeError, ValueError) as e:
                     out.append((n, False, str(e)[:200]))
             yield pd.DataFrame(out, columns=["name", "valid", "message"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semloom.operators import cascade, inference, nested
-from semloom.plans.query import Queries
+from semloom.plans.query import Queries, sql_keywords, sql_sanitize
 
 query = Queries()
 
@@ -32,16 +32,16 @@ def j1_walk(load):
     return n.groupBy("model_id").agg(F.count_if(F.col("key") == "id").alias("ids"), F.count_if(F.col("key") == "name").alias("names"), F.count_if(F.col("key") == "value").alias("vals"))
 
 
-_SAN = "trim(regexp_replace(translate({c}, ' /.,:;()[]', '___________'), '_+', '_', 'g'), '_')"
+_FIELDS = (("classification", "classification"), ("dataType", "datatype"), ("id", "id"), ("name", "name"), ("unit", "unittext"), ("value", "value"))
+#: The scalar fields of a parameter as JSON, those that are null left out.
+_CONTENT = "'{' || concat_ws(',', " + ", ".join(f"'\"{k}\":' || cast(to_json({c}) as varchar)" for k, c in _FIELDS) + ") || '}'"
 
 
-@query(f"""select 'https://sem.example/' || model_id || '/parameter/' || id as iri, count(*) as n from model_parameter where model_id in (select model_id from models) and regexp_full_match(id, '[A-Za-z0-9]+') group by 1""")
+@query(f"""select 'https://sem.example/' || {sql_sanitize("model_id")} || '/parameter/' || coalesce(nullif({sql_sanitize("nullif(id, '')")}, ''), substr(md5({_CONTENT}), 1, 8)) as iri, count(*) as n from model_parameter where model_id in (select model_id from models) group by 1""")
 def j1_parameter_ids(load):
-    """J1/X24. Ids of all parameter objects that have a plain id."""
+    """J1/X24. Ids of all parameter objects."""
     ids = nested.identified(nested.walk(documents(load), "model_id", "doc"), "https://sem.example/")
-    return ids.where(F.col("iri").rlike("/parameter/[A-Za-z0-9]+$") & (F.col("path") == "modelMath.parameter")).groupBy("iri").agg(F.count(F.lit(1)).alias("n")).join(
-        load("model_parameter").where(F.col("id").rlike("^[A-Za-z0-9]+$")).select(F.concat(F.lit("https://sem.example/"), "model_id", F.lit("/parameter/"), "id").alias("iri")).distinct(), "iri", "left_semi"
-    )
+    return ids.where("path = 'modelMath.parameter'").groupBy("iri").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -78,9 +78,13 @@ def j1_event_props(load):
     return n.where("path = 'k'").select(F.col("model_id").cast("long").alias("event_id"), F.col("value").alias("k"))
 
 
-@query("select cast(event_id as varchar) as name, true as valid from events where json_valid(props)")
+@query("""select cast(event_id as varchar) as name, case event_id % 4 when 0 then json_valid(props) when 1 then false when 2 then true else false end as valid from events""")
 def j10_validity(load):
-    return nested.validity(load("events"), "event_id", "props").where("valid").select("name", "valid")
+    """J10. Every event's JSON: as it is, cut off, as a linked node, and with an id that is no text."""
+    e, i = load("events"), F.col("event_id") % 4
+    node = F.concat(F.lit('{"@context": {"v": "https://sem.example/v/", "props": "v:props"}, "@id": "v:1", "props": "'), F.hex("props"), F.lit('"}'))
+    doc = F.when(i == 0, F.col("props")).when(i == 1, F.concat(F.lit("["), "props")).when(i == 2, node).otherwise(F.lit('{"@id": 5, "v": 1}'))
+    return nested.validity(e.withColumn("doc", doc), "event_id", "doc").select("name", "valid")
 
 
 @query("""select coalesce(m.model_id, p.model_id) as model_id, coalesce(nullif(title, ''), nullif(source_file, ''), m.model_id, p.model_id) as title, case when m.model_id is null then 'only processed' when p.model_id is null then 'new' else 'processed' end as status
@@ -102,8 +106,8 @@ def mt4_infer(load):
     return inference.infer(p, units, _candidates(load, ["InputParameter", "Parameter"]), _candidates(load, ["OutputParameter", "Parameter"])).withColumn("roles", F.array_join("roles", ","))
 
 
-@query("""with q as (select distinct name as text, list_distinct(list_filter(string_split_regex(translate(lower(name), '_-()[]/,.', '         '), '\\s+'), lambda x: length(x) > 2)) as w from model_parameter where regexp_full_match(name, '[\\x20-\\x7f]*')),
-c as (select label as display, concept_id as ord, list_distinct(list_filter(string_split_regex(translate(lower(label), '_-()[]/,.', '         '), '\\s+'), lambda x: length(x) > 2)) as v from ontology_index where space = 'property'),
+@query(f"""with q as (select distinct name as text, {sql_keywords("name")} as w from model_parameter where name is not null),
+c as (select label as display, concept_id as ord, {sql_keywords("label")} as v from ontology_index where space = 'property'),
 qw as (select text, unnest(w) as a from q), cv as (select display, ord, unnest(v) as b from c),
 s as (select text, display, ord, round(sum(case when a = b then 1.0e0 else 0.8e0 end), 6) as score from qw join cv on contains(a, b) or contains(b, a) group by 1, 2, 3)
 select text, display, score from s qualify row_number() over (partition by text order by score desc, ord, display desc) = 1""")

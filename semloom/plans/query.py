@@ -17,6 +17,36 @@ def sql_strip(c: str) -> str:
     return f"regexp_replace({c}, '^{WHITE}+|{WHITE}+$', '', 'g')"
 
 
+def sql_normalize(c: str) -> str:
+    """SQL for ``functions.text.normalize``: compatibility forms of blanks and of full-width marks, composed letters, one blank between words, lower case."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94))
+    plain = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+    return f"trim(regexp_replace(lower(nfc_normalize(translate({c}, '{wide}', '{plain}'))), '{WHITE}+', ' ', 'g'))"
+
+
+def sql_keywords(c: str) -> str:
+    """SQL for ``functions.text.keyword_tokens``."""
+    return f"list_distinct(list_filter(string_split_regex(translate(lower({c}), '_-()[]/,.', '         '), '{WHITE}+'), lambda x: length(x) > 2))"
+
+
+#: Letters, marks, digits and joiners, as both engines' word class takes them.
+WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+
+
+def sql_slug(c: str) -> str:
+    """SQL for ``functions.text.slugify``."""
+    return f"regexp_replace(lower(regexp_replace(regexp_replace({c}, '[^{WORD}\\s\\x{{a0}}\\x{{2009}}-]', '', 'g'), '^[\\s\\x{{a0}}\\x{{2009}}]+|[\\s\\x{{a0}}\\x{{2009}}]+$', '', 'g')), '[-\\s\\x{{a0}}\\x{{2009}}]+', '-', 'g')"
+
+
+def sql_sanitize(c: str) -> str:
+    """SQL for ``functions.text.sanitize_iri``."""
+    text = f"coalesce({c}, '')"
+    for a, b in (("@", "_at_"), ("&", "_and_"), ("%", "_percent_"), ("+", "_plus_"), ("=", "_eq_")):
+        text = f"replace({text}, '{a}', '{b}')"
+    text = f"translate({text}, ' /\\.,:;#()[]{{}}<>|*!?\"" + 2 * "'" + "', '____________________')"
+    return f"substr(regexp_replace(regexp_replace({text}, '_+', '_', 'g'), '^_|_$', '', 'g'), 1, 100)"
+
+
 #: Characters that stand for those beyond ASCII where SQL counts bytes.
 _STAND_INS = "||".join(f"chr({i})" for i in (*range(1, 9), *range(14, 32), 127))
 

@@ -5,41 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from semloom.functions import text as T
-from semloom.operators import cascade, reconcile
-from semloom.plans.query import Queries
+from semloom.operators import cascade, inference, reconcile
+from semloom.plans.query import WORD, Queries, sql_keywords, sql_levenshtein, sql_normalize, sql_sanitize, sql_slug, sql_strip
 
 query = Queries()
-# Spark and DuckDB differ in the unit of edit distance beyond ASCII. The SQL of edit distances and the like holds to ASCII; the queries run over every row.
-ASCII = r"^[\x00-\x7f]*$"
-_SQL_LEV = """case when greatest(length(lower({a})), length(lower({b}))) = 0 then 1.0 else 1.0e0 - cast(levenshtein(lower({a}), lower({b})) as double)
-  / cast(greatest(length(lower({a})), length(lower({b}))) as double) end"""
+_LEV = sql_levenshtein
 
 
 def _names(load):
     return load("part").select("p_name").distinct()
 
 
-@query(f"""select a.p_name as term, b.p_name as candidate, {_SQL_LEV.format(a="a.p_name", b="b.p_name")} as score
+@query(f"""select a.p_name as term, b.p_name as candidate, {_LEV("a.p_name", "b.p_name")} as score
 from (select distinct p_name from part) a join (select distinct p_name from part) b
   on a.p_name <> b.p_name and abs(length(a.p_name) - length(b.p_name)) <= floor(greatest(length(a.p_name), length(b.p_name)) * 0.3e0 + 1e-9)
-where {_SQL_LEV.format(a="a.p_name", b="b.p_name")} >= 0.7""")
+where {_LEV("a.p_name", "b.p_name")} >= 0.7""")
 def x1_levenshtein_pairs(load):
-    """X1 with the bounded form: pairs of part names of like length (an equi-join on shared first pieces isn't needed at 64 names)."""
+    """X1 with the bounded form: all pairs of different part names of similarity 0.7 or more, joined on rare letters they must share."""
     a, b = _names(load).withColumnRenamed("p_name", "term"), _names(load).withColumnRenamed("p_name", "candidate")
-    near = F.abs(F.length("term") - F.length("candidate")) <= F.floor(F.greatest(F.length("term"), F.length("candidate")) * 0.3 + 1e-9)
-    pairs = a.join(b, (F.col("term") != F.col("candidate")) & near).where(T.levenshtein_at_least(F.col("term"), F.col("candidate"), 0.7))
-    return pairs.withColumn("score", T.levenshtein_similarity(F.col("term"), F.col("candidate")))
-
-
-def _strip(c: str) -> str:
-    return f"regexp_replace({c}, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')"
+    return inference.edit_pairs(a, "term", b, "candidate", 0.7).where("term <> candidate")
 
 
 _TOP = f"""
-with t as (select term_id, {_strip("term")} as term from matching_table_for_reconciliation where coalesce(uri, '') in ('', 'No Match') and {_strip("term")} <> ''),
-s as (select s.term_id, s.suggestion_id, s.label, s.uri, s.provider_ord, s.api_rank, s.score as api_score, {_SQL_LEV.format(a="t.term", b="s.label")} as lev
+with t as (select term_id, {sql_strip("term")} as term from matching_table_for_reconciliation where coalesce(uri, '') in ('', 'No Match') and {sql_strip("term")} <> ''),
+s as (select s.term_id, s.suggestion_id, s.label, s.uri, s.provider_ord, s.api_rank, s.score as api_score, {_LEV("t.term", "s.label")} as lev
   from suggestion s join t on s.term_id = t.term_id
-  where s.label is not null and s.uri is not null and regexp_full_match(t.term, '[\\x00-\\x7f]*') and regexp_full_match(s.label, '[\\x00-\\x7f]*'))
+  where s.label is not null and s.uri is not null)
 """
 
 
@@ -74,7 +65,7 @@ def t2_local_threshold(load):
 select m.term_id, case when coalesce(m.uri, '') not in ('', 'No Match') then m.uri when b.score >= 0.7 then b.f.u else 'No Match' end as uri,
   case when coalesce(m.uri, '') not in ('', 'No Match') then coalesce(m.provider_term, '') when b.score >= 0.7 then b.f.l else '' end as provider_term,
   case when (coalesce(m.uri, '') not in ('', 'No Match') or b.score >= 0.7 and b.f.u not in ('', 'No Match')) and coalesce(m.match_type, '') = '' then 'skos:exactMatch' else coalesce(m.match_type, '') end as match_type
-from matching_table_for_reconciliation m left join b using (term_id) where regexp_full_match(coalesce(""" + _strip("m.term") + """, ''), '[\\x00-\\x7f]*')""")
+from matching_table_for_reconciliation m left join b using (term_id)""")
 def t3_best_match(load):
     """T3/T4. Every term with its best match or 'No Match' (the flagship)."""
     out = reconcile.best_match(load("matching_table_for_reconciliation"), load("suggestion"))
@@ -129,22 +120,21 @@ def t5_page(load):
     return reconcile.page(load("matching_table_for_reconciliation"), ["term_id"], 3, 25).select("term_id", "term")
 
 
-_NORM = "trim(regexp_replace(lower({c}), '[\\s\\x1c-\\x1f]+', ' ', 'g'))"
+_TOKENS = "list_filter(string_split_regex({c}, '[^a-z0-9]+'), lambda x: x <> '' and x not in ('sp','spp','cf','strain','subsp','serovar','serotype'))"
 
 
-@query(rf"""with d as (select label, list_filter(string_split_regex({_NORM.format(c="label")}, '[^a-z0-9]+'), lambda x: x <> '' and x not in ('sp','spp','cf','strain','subsp','serovar','serotype')) as t
-  from (select distinct label from suggestion where regexp_full_match(label, '[\x00-\x7f]*')))
-select label, array_to_string(t, ' ') as tokens, cast(len(t) as integer) as n from d""")
+@query(f"""with d as (select label, {_TOKENS.format(c=sql_normalize("label"))} as t from (select distinct label from suggestion))
+select label, array_to_string(t, ' ') as tokens, cast(len(t) as integer) as n from d where label is not null""")
 def x6_tokens(load):
     """X5/X6. Normalised tokens of every distinct label."""
-    d = load("suggestion").select("label").distinct().where(F.col("label").rlike(ASCII))
-    t = T.tokens(T.normalize_ascii(F.col("label")))
+    d = load("suggestion").select("label").distinct().where("label is not null").withColumn("q", T.normalize(F.col("label")))
+    t = T.tokens(F.col("q"))
     return d.select("label", F.array_join(t, " ").alias("tokens"), F.size(t).alias("n"))
 
 
-@query()
+@query(f"select distinct term, {sql_normalize('term')} as normal from matching_table_for_reconciliation")
 def x5_normalize(load):
-    """X5 with compatibility forms: every distinct term (no SQL function for these)."""
+    """X5 with compatibility forms: every distinct term."""
     return load("matching_table_for_reconciliation").select("term").distinct().withColumn("normal", T.normalize(F.col("term")))
 
 
@@ -161,9 +151,7 @@ def x7_jaccard_pairs(load):
     return pairs.withColumn("score", T.jaccard(F.col("ta"), F.col("tb"))).where("score >= 0.5").select("a", "b", "score")
 
 
-@query("""with k as (select row_id, list_distinct(list_filter(string_split_regex(translate(lower(term), '_-()[]/,.', '         '), '\\s+'), lambda x: length(x) > 2)) as t,
-  list_distinct(list_filter(string_split_regex(translate(lower(altlabels), '_-()[]/,.', '         '), '\\s+'), lambda x: length(x) > 2)) as u
-  from master_mapping where regexp_full_match(coalesce(term, '') || coalesce(altlabels, ''), '[\\x00-\\x7f]*') and term is not null and altlabels is not null)
+@query(f"""with k as (select row_id, {sql_keywords("term")} as t, {sql_keywords("altlabels")} as u from master_mapping where term is not null and altlabels is not null)
 select row_id, round(coalesce((select sum(case when x = y then 1.0e0 when contains(y, x) or contains(x, y) then 0.8e0 else 0e0 end) from (select unnest(t) as x), (select unnest(u) as y)), 0e0), 6) as score from k""")
 def x8_keyword_overlap(load):
     """X8. Keyword overlap of each mapping's term with its alternative labels."""
@@ -171,29 +159,24 @@ def x8_keyword_overlap(load):
     return m.select("row_id", F.round(T.keyword_overlap(T.keyword_tokens(F.col("term")), T.keyword_tokens(F.col("altlabels"))), 6).alias("score"))
 
 
-_CLEAN = "translate(replace(replace(replace(replace(replace(label, '@', '_at_'), '&', '_and_'), '%', '_percent_'), '+', '_plus_'), '=', '_eq_'), ' /\\.,:;#()[]{}<>|*!?\"''', '____________________')"
-
-
-@query(f"""select label, substr(regexp_replace(regexp_replace({_CLEAN}, '_+', '_', 'g'), '^_|_$', '', 'g'), 1, 100) as iri_part,
-  regexp_replace(lower(trim(regexp_replace(label, '[^\\w\\s-]', '', 'g'))), '[-\\s]+', '-', 'g') as slug, substr(md5(label), 1, 8) as hash, regexp_replace(label, '[^\\w\\-]', '_', 'g') as file_name
-from (select distinct label from suggestion where regexp_full_match(label, '[\\x20-\\x7f]*'))""")
+@query(f"""select label, {sql_sanitize("label")} as iri_part, {sql_slug("label")} as slug, substr(md5(label), 1, 8) as hash, regexp_replace(label, '[^{WORD}\\-]', '_', 'g') as file_name from (select distinct label from suggestion where label is not null)""")
 def x12_iri_parts(load):
     """X12-X15. Every distinct label as part of an IRI, as slug, short hash and file name."""
-    d = load("suggestion").select("label").distinct().where(F.col("label").rlike(r"^[\x20-\x7f]*$"))
+    d = load("suggestion").select("label").distinct().where("label is not null")
     c = F.col("label")
     return d.select("label", T.sanitize_iri(c).alias("iri_part"), T.slugify(c).alias("slug"), T.hash_id(c).alias("hash"), T.cache_name(c).alias("file_name"))
 
 
-@query("""select row_id, case when trim(coalesce(altlabels, '')) <> '' then term || ' (' || altlabels || ')' else term end as display from master_mapping where regexp_full_match(coalesce(altlabels, ''), '[\\x00-\\x7f]*')""")
+@query("""select row_id, case when trim(coalesce(altlabels, ''), ' ') <> '' then term || ' (' || altlabels || ')' else term end as display from master_mapping""")
 def x16_display_label(load):
     return load("master_mapping").select("row_id", T.display_label(F.col("term"), F.col("altlabels")).alias("display"))
 
 
 @query("""select suggestion_id, concat_ws(' ', coalesce(label, 'N/A'), case when coalesce(source_provider, '') <> '' then '[' || source_provider || ']' end, case when score is not null and not isnan(score) then '[Lev: ' || printf('%.2f', score) || ']' end,
   case when coalesce(description, '') <> '' then '(' || case when length(description) > 100 then substr(description, 1, 100) || '...' else description end || ')' end, '<' || coalesce(nullif(uri, ''), 'No URI') || '>') as display
-from suggestion where score is null or isnan(score) or abs(score * 100 - floor(score * 100) - 0.5) > 0.01""")
+from suggestion""")
 def x17_suggestion_display(load):
-    """X17. The SQL leaves out scores about half way between two hundredths."""
+    """X17. Every suggestion as one line."""
     s = load("suggestion")
     score = F.when(~F.isnan("score"), F.col("score"))
     return s.select("suggestion_id", T.suggestion_display(F.col("label"), F.col("source_provider"), score, F.col("description"), F.col("uri")).alias("display"))
@@ -208,7 +191,7 @@ def x18_uri_parts(load):
 
 
 @query(f"""select row_id, cast(unnest(generate_series(1, len(v))) as integer) as pos, unnest(v) as part from (
-  select row_id, list_filter(list_transform(string_split(altlabels, ','), lambda x: {_strip('x')}), lambda x: x <> '') as v from master_mapping where altlabels is not null)""")
+  select row_id, list_filter(list_transform(string_split(altlabels, ','), lambda x: {sql_strip('x')}), lambda x: x <> '') as v from master_mapping where altlabels is not null)""")
 def x21_comma_list(load):
     m = load("master_mapping").select("row_id", F.posexplode(T.comma_list(F.col("altlabels"))).alias("pos", "part"))
     return m.select("row_id", (F.col("pos") + 1).alias("pos"), "part")
@@ -222,12 +205,10 @@ def x23_record_page(load):
     return s.select("suggestion_id", T.ncbi_uri(F.col("db"), F.col("id")).alias("page"))
 
 
-@query("""with p as (select param_key, trim(regexp_replace(translate(replace(replace(model_id, '/', '_'), ' ', '_'), '.', '_'), '_+', '_', 'g'), '_') as m,
-  nullif(trim(regexp_replace(translate(replace(replace(id, '/', '_'), ' ', '_'), '.', '_'), '_+', '_', 'g'), '_'), '') as i, name from model_parameter where regexp_full_match(coalesce(id, ''), '[A-Za-z0-9_]*'))
-select param_key, 'https://sem.example/' || m || '/parameter/' || coalesce(i, substr(md5(coalesce(name, '')), 1, 8)) as iri from p""")
+@query(f"""select param_key, 'https://sem.example/' || {sql_sanitize("model_id")} || '/parameter/' || coalesce(nullif({sql_sanitize("id")}, ''), substr(md5(coalesce(name, '')), 1, 8)) as iri from model_parameter""")
 def x24_parameter_iri(load):
     """X24. The IRI of every parameter: from its id, else from a hash."""
-    p = load("model_parameter").where(F.coalesce("id", F.lit("")).rlike("^[A-Za-z0-9_]*$"))
+    p = load("model_parameter")
     return p.select("param_key", T.mint("https://sem.example/", F.col("model_id"), "parameter", [F.col("id")], F.coalesce("name", F.lit(""))).alias("iri"))
 
 
@@ -255,21 +236,25 @@ def x2_cosine(load):
     return e.join(first, "label").select("vec_id", "label", F.round(T.cosine(F.col("embedding"), F.col("b")), 6).alias("score"))
 
 
-@query(rf"""with s as (select suggestion_id, {_SQL_LEV.format(a=_strip("m.term"), b="s.label")} as lev, case when isnan(s.score) or s.score is null then 0.0 else s.score end as c
-  from suggestion s join matching_table_for_reconciliation m using (term_id) where regexp_full_match({_strip('m.term')}, '[\x00-\x7f]*') and {_strip('m.term')} <> '' and regexp_full_match(s.label, '[\x00-\x7f]*'))
-select suggestion_id, round(c * 0.5 + c * 0.2 + lev * 0.3, 9) as score from s""")
+@query(f"""with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), n as (select count(*) as n from e),
+s as (select s.suggestion_id, {_LEV(sql_strip("m.term"), "s.label")} as lev, s.suggestion_id % n as a, m.term_id % n as b, (s.suggestion_id + 7) % n as c from suggestion s join matching_table_for_reconciliation m using (term_id), n where {sql_strip("m.term")} <> '' and s.label is not null)
+select suggestion_id, round(list_cosine_similarity(x.v, y.v) * 0.5 + list_cosine_similarity(z.v, y.v) * 0.2 + lev * 0.3, 6) as score from s join e x on x.vec_id = a join e y on y.vec_id = b join e z on z.vec_id = c""")
 def x2_hybrid(load):
-    """X2. Weighted sum of two cosines (here the provider's score stands for both) and the edit similarity."""
+    """X2. Weighted sum of the cosine of label and description, of the label alone (vectors of the table stand for both and for the term), and the edit similarity."""
     s = reconcile.scored(load("matching_table_for_reconciliation"), load("suggestion").where("label is not null"))
-    c = F.when(F.isnan("score") | F.col("score").isNull(), 0.0).otherwise(F.col("score"))
-    return s.select("suggestion_id", F.round(T.hybrid_score(c, c, F.col("levenshtein_score")), 9).alias("score"))
+    e = load("embeddings").select("vec_id", "embedding")
+    n = e.agg(F.count(F.lit(1))).scalar()
+    placed = s.select("suggestion_id", "levenshtein_score", (F.col("suggestion_id") % n).alias("a"), (F.col("term_id") % n).alias("b"), ((F.col("suggestion_id") + 7) % n).alias("c"))
+    for k in "abc":
+        placed = placed.join(e.select(F.col("vec_id").alias(k), F.col("embedding").alias(f"v{k}")), k)
+    return placed.select("suggestion_id", F.round(T.hybrid_score(T.cosine(F.col("va"), F.col("vb")), T.cosine(F.col("vc"), F.col("vb")), F.col("levenshtein_score")), 6).alias("score"))
 
 
-_MT1 = r"""
-with q as (select distinct name as text, 'hazard' as field, trim(regexp_replace(lower(name), '\s+', ' ', 'g')) as q from model_parameter where regexp_full_match(name, '[\x00-\x7f]*') and trim(name) <> ''),
-qt as (select *, list_filter(string_split_regex(q, '[^a-z0-9]+'), lambda x: x <> '' and x not in ('sp','spp','cf','strain','subsp','serovar','serotype')) as t from q where q <> ''),
+_MT1 = f"""
+with q as (select distinct name as text, 'hazard' as field, {sql_normalize('name')} as q from model_parameter),
+qt as (select *, {_TOKENS.format(c="q")} as t from q where q <> ''),
 o as (select space, label_norm as label, arg_max(iri, ord) as iri, min(ord) as ord, case when space = 'class' then 0 else 1 end as so from ontology_index where space in ('class', 'individual') group by 1, 2),
-ot as (select *, list_filter(string_split_regex(label, '[^a-z0-9]+'), lambda x: x <> '' and x not in ('sp','spp','cf','strain','subsp','serovar','serotype')) as t from o),
+ot as (select *, {_TOKENS.format(c="label")} as t from o),
 syn as (select syn_norm, lower(arg_max(canonical, ord)) as label from ontology_synonym group by 1),
 h as (
   select text, field, iri, o.label, 1 as pass, 1.0 as score, so, ord from qt join o on q = o.label
@@ -300,6 +285,17 @@ def mt1_cascade_near(load):
     return cascade.match_ontology(_values(load, "hazard"), load("ontology_index"), load("ontology_synonym"))
 
 
+@query(f"""with q as (select distinct name as text, {sql_normalize('name')} as q from model_parameter), o as (select space, label_norm as label, arg_max(iri, ord) as iri, min(ord) as ord, case when space = 'class' then 1 else 0 end as so from ontology_index where space in ('class', 'individual') group by 1, 2),
+syn as (select syn_norm, lower(arg_max(canonical, ord)) as label from ontology_synonym group by 1),
+h as (select text, iri, o.label, 1 as pass, so, ord from q join o on q = o.label union all select text, iri, o.label, 2, so, ord from q join syn on q = syn_norm join o on o.label = syn.label
+  union all select text, iri, label, 3, so, ord from q join o on (contains(label, q) and length(q) >= 3 or contains(q, label) and length(label) >= 3) where q <> '')
+select 'parameters' as category, 'parameter' as field, q.text, h.iri, h.label, cast(h.pass as integer) as pass from q left join (select * from h qualify row_number() over (partition by text order by pass, so, ord, label) = 1) h using (text) where q.q <> ''""")
+def mt2_contained(load):
+    """MT2 without the last pass, for every parameter name: exact, synonym, substring."""
+    q = _values(load, "parameter").withColumn("category", F.lit("parameters"))
+    return cascade.map_vocabulary(q, load("ontology_index"), load("ontology_synonym"), near=False).select("category", "field", "text", "iri", "label", F.col("pass").cast("int").alias("pass"))
+
+
 @query()
 def mt2_vocabulary(load):
     """MT2 for every parameter name: exact, synonym, substring, ratio."""

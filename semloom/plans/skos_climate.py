@@ -10,12 +10,10 @@ from semloom.operators import climate as C
 from semloom.operators import skos as K
 from semloom.plans.graph import T as TRIPLES
 from semloom.plans.graph import V, full, triples
-from semloom.plans.query import Queries
+from semloom.plans.query import Queries, sql_slug, sql_strip
 
 query = Queries()
-ASCII = r"^[\x20-\x7f]*$"
-_STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
-_LONG = f"""l as (select row_id, i as ord, {_STRIP.format(c="u")} as uri from (select row_id, unnest([1, 2, 3]) as i, unnest([uri1, uri2, uri3]) as u from master_mapping) where u is not null and lower({_STRIP.format(c="u")}) not in ('', 'nan'))"""
+_LONG = f"""l as (select row_id, i as ord, {sql_strip("u")} as uri from (select row_id, unnest([1, 2, 3]) as i, unnest([uri1, uri2, uri3]) as u from master_mapping) where u is not null and lower({sql_strip("u")}) not in ('', 'nan'))"""
 URIS = ("uri1", "uri2", "uri3")
 
 
@@ -35,17 +33,16 @@ def f11_reverse_lookup(load):
     return K.first_row_by_uri(load("master_mapping"), "row_id", URIS)
 
 
-@query("select row_id, case when contains(lower(conceptgroup), 'unit') then 'unit' when contains(lower(conceptgroup), 'input') or contains(lower(conceptgroup), 'output') then 'io' when contains(lower(conceptgroup), 'param') then 'parameter' end as kind from master_mapping where regexp_full_match(coalesce(conceptgroup, ''), '[\\x20-\\x7f]*')")
+@query("select row_id, case when contains(lower(conceptgroup), 'unit') then 'unit' when contains(lower(conceptgroup), 'input') or contains(lower(conceptgroup), 'output') then 'io' when contains(lower(conceptgroup), 'param') then 'parameter' end as kind from master_mapping")
 def f16_vocabulary_type(load):
     types = {"unit": ("#none", ["unit"]), "io": ("#none", ["input", "output"]), "parameter": ("#none", ["param"])}
-    m = load("master_mapping").where(F.coalesce("conceptgroup", F.lit("")).rlike(ASCII))
-    return m.select("row_id", K.vocabulary_type(F.col("conceptgroup"), types).alias("kind"))
+    return load("master_mapping").select("row_id", K.vocabulary_type(F.col("conceptgroup"), types).alias("kind"))
 
 
 @query("""select provider, min(uri) as a, max(uri) as b, substr(min(uri), 1, coalesce(list_max(list_filter(generate_series(1, length(min(uri))), lambda i: substr(min(uri), 1, i) = substr(max(uri), 1, i))), 0)) as base
-from suggestion where regexp_full_match(uri, 'https?://[\\x21-\\x7f]*') group by provider""")
+from suggestion where uri is not null group by provider""")
 def a13_common_prefix(load):
-    s = load("suggestion").where(F.col("uri").rlike(r"^https?://[\x21-\x7f]*$"))
+    s = load("suggestion").where("uri is not null")
     return s.groupBy("provider").agg(F.min("uri").alias("a"), F.max("uri").alias("b"), K.common_prefix(F.col("uri")).alias("base"))
 
 
@@ -55,15 +52,12 @@ def _wide(load) -> DataFrame:
     return m.select("row_id", "term", F.col("altlabels").alias("alt_label"), F.col("conceptgroup").alias("concept_group"), F.when(F.coalesce("providerterm1", F.lit("")) != "", F.array("providerterm1")).otherwise(empty).alias("definitions"), empty.alias("sources"))
 
 
-_SLUG = "regexp_replace(regexp_replace(lower(regexp_replace({c}, '[^\\w\\s-]', '', 'g')), '^\\s+|\\s+$', '', 'g'), '[-\\s]+', '-', 'g')"
-
-
-@query(TRIPLES + full(f""", m as (select *, list_filter(list_transform(string_split(coalesce(altlabels, ''), ','), lambda x: {_STRIP.format(c="x")}), lambda x: x <> '') as alts from master_mapping
-  where regexp_full_match(concat_ws('', term, altlabels, conceptgroup), '[\\x20-\\x7f]*') and {_STRIP.format(c="coalesce(term, '')")} <> ''),
+@query(TRIPLES + full(f""", m as (select *, list_filter(list_transform(string_split(coalesce(altlabels, ''), ','), lambda x: {sql_strip("x")}), lambda x: x <> '') as alts from master_mapping
+  where {sql_strip("coalesce(term, '')")} <> ''),
 c as (select s from triples where p = 'rdf:type' and o = 'skos:Concept'),
 pn as (select o, min(s) as s from triples where p = 'skos:prefLabel' and s in (select s from c) group by 1), an as (select o, min(s) as s from triples where p = 'skos:altLabel' and s in (select s from c) group by 1),
 ba as (select term, min(an.s) as s from (select term, unnest(alts) as alt from m) x join an on an.o = x.alt group by 1),
-mi as (select term, arg_min('https://sem.example/concept/' || case when {_STRIP.format(c="coalesce(conceptgroup, '')")} <> '' then {_SLUG.format(c="conceptgroup")} || '/' else '' end || {_SLUG.format(c="term")}, row_id) as s from m group by 1)
+mi as (select term, arg_min('https://sem.example/concept/' || case when {sql_strip("coalesce(conceptgroup, '')")} <> '' then {sql_slug("conceptgroup")} || '/' else '' end || {sql_slug("term")}, row_id) as s from m group by 1)
 select mi.term, coalesce(pn.s, ba.s, mi.s) as concept, (pn.s is null and ba.s is null) as is_new from mi left join pn on pn.o = mi.term left join ba on ba.term = mi.term"""))
 def j12_concept_of_term(load):
     """J12. The concept that each term of the wide table goes to, and whether it is new."""
@@ -100,7 +94,15 @@ def j14_resolution(load):
     return K.resolved(t.drop("r"), choices)
 
 
-@query()
+@query("""with l(ns, prefix, i) as (values ('https://vocab.agrisem.example/class/', 'FPX', 0), ('https://vocab.agrisem.example/class/', 'HZX', 1), ('https://entity.wikiterm.example/entity/', 'wte', 0), ('https://vocab.agrisem.example/', 'agrisem', 0)),
+u as (select distinct uri from suggestion where uri is not null), p as (select l.*, uri, case when starts_with(lower(substr(uri, length(ns) + 1)), lower(prefix)) then 1 else 0 end as hit from u join l on starts_with(uri, ns)),
+s as (select ns, prefix, i, sum(hit) as hits, count(*) over (partition by ns) as names from p group by 1, 2, 3),
+k as (select *, case when names = 1 then 3 when hits > 0 then 2 when contains(lower(regexp_extract(ns, 'https?://([^/]+)', 1)), lower(prefix)) then 1 end as kind from s),
+c as (select ns, prefix from k where kind is not null qualify row_number() over (partition by ns order by kind desc, hits desc, length(prefix) desc, i) = 1),
+o as (select uri, arg_max(c.ns, length(c.ns)) as ns, arg_max(c.prefix, length(c.ns)) as prefix from p join c on c.ns = p.ns group by uri),
+g as (select ns, prefix, min(uri) as a, max(uri) as b, count(*) as n from o group by 1, 2),
+h as (select *, regexp_extract(substr(a, 1, coalesce(list_max(list_filter(generate_series(1, length(a)), lambda j: substr(a, 1, j) = substr(b, 1, j))), 0)), '^(.*[/#])', 1) as cut from g)
+select prefix, case when n > 1 and length(cut) > length(ns) then cut else ns end as namespace, n as uris from h qualify row_number() over (partition by prefix order by length(ns) desc, ns desc) = 1""")
 def j15_prefixes(load):
     """J15. Prefixes for all uris of the suggestions, of a list with an ambiguous namespace."""
     s = load("suggestion")
@@ -199,7 +201,9 @@ def g5_clip(load):
     return C.clip(c, regions).select("c_custkey", "region")
 
 
-@query()
+@query("""with c as (select c_custkey, radians(c_custkey % 40 - 20) as a, radians(c_custkey % 60 - 30) as b, radians(39.25) as p from customer)
+select c_custkey, round(degrees(asin(sin(p) * sin(a) + cos(p) * cos(a) * cos(b))), 6) as lat,
+  round((d + 180) - 360 * floor((d + 180) / 360) - 180, 6) as lon from (select *, degrees(atan2(cos(a) * sin(b), sin(p) * cos(a) * cos(b) - cos(p) * sin(a))) - 162.0 + 180 as d from c)""")
 def g6_rotated(load):
     """G6. Latitude and longitude of cells of a grid with a rotated pole."""
     c = load("customer").select("c_custkey", (F.col("c_custkey") % 40 - 20).alias("rlat"), (F.col("c_custkey") % 60 - 30).alias("rlon"))
