@@ -33,3 +33,13 @@ def stats(cache: DataFrame, now, days: int = TTL_DAYS) -> DataFrame:
     """One row (total, active, expired)."""
     fresh = F.coalesce(F.col("cached_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)), F.lit(False))
     return cache.agg(F.count(F.lit(1)).alias("total"), F.count_if(fresh).alias("active"), F.count_if(~fresh).alias("expired"))
+
+
+def memoised(df: DataFrame) -> DataFrame:
+    """C2. The result kept by executors, on disk where memory is short; ``unpersist`` lets it go. What is lost with an executor is computed again."""
+    return df.persist()
+
+
+def format_counts(results: DataFrame, kind: str, ok: str) -> DataFrame:
+    """A9. (kind, total, succeeded, failed) of a table of results."""
+    return results.groupBy(kind).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(ok)).alias("succeeded"), F.count_if(~F.coalesce(F.col(ok), F.lit(False))).alias("failed"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.functions.text import hash_id, sanitize_iri, strip_digits
+from semloom.operators.vocabulary import Vocabulary
 from semloom.session import computed
 
 NODES = "model_id string, node_id long, parent_id long, path string, key string, arr_ix int, kind string, value string"
@@ -312,6 +313,23 @@ def parameter_links(links: DataFrame, aliases: DataFrame, parameters: DataFrame)
     return side(side(links, "target"), "source").select("target", "source").distinct()
 
 
+def composite(model: DataFrame, parts: DataFrame, links: DataFrame, kind: str, voc: Vocabulary) -> DataFrame:
+    """J5. Triples (s, p, o, o_kind) of composite models: their type, their parts, and what parameters are informed by.
+
+    ``model``: (iri) of the composites, ``parts``: (composite, part) iris, ``links``: (target, source) of ``parameter_links``.
+    """
+    iri = F.lit("iri").alias("o_kind")
+    typed = model.select(F.col("iri").alias("s"), F.lit(voc.type).alias("p"), F.lit(kind).alias("o"), iri)
+    held = parts.select(F.col("composite").alias("s"), F.lit(voc.has_part).alias("p"), F.col("part").alias("o"), iri)
+    informed = links.select(F.col("target").alias("s"), F.lit(voc.informed_by).alias("p"), F.col("source").alias("o"), iri)
+    return typed.unionByName(held).unionByName(informed).distinct()
+
+
+def in_both(models: DataFrame, processed: DataFrame) -> DataFrame:
+    """U3. (model_id) known and processed: the intersection."""
+    return models.select("model_id").intersect(processed.select("model_id"))
+
+
 def statuses(models: DataFrame, processed: DataFrame) -> DataFrame:
     """J18/U3. (model_id, title, status): new, processed or only processed; the title falls back to the source file, then the id."""
     done = processed.select("model_id").distinct().withColumn("done", F.lit(True))

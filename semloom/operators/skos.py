@@ -100,6 +100,12 @@ def conflicts(mappings: DataFrame, existing: DataFrame) -> DataFrame:
     return seen.where((F.col("uri") != held) & ~F.coalesce(F.array_contains("all_old", F.col("uri")), F.lit(False))).select("s", "p", held.alias("existing_uri"), F.col("uri").alias("new_uri"))
 
 
+def report(added: DataFrame, clash: DataFrame, voc: Vocabulary = PUBLIC) -> DataFrame:
+    """A14. (kind, s) of what an upsert did, each once and in order: 'conflict', 'new' and 'updated' concepts."""
+    concepts = added.where(~F.col("p").isin(voc.title, voc.description) & (F.col("o") != voc.concept_scheme)).groupBy("s").agg(F.max("is_new").alias("new"))
+    return concepts.select(F.when(F.col("new"), "new").otherwise("updated").alias("kind"), "s").unionByName(clash.select(F.lit("conflict").alias("kind"), "s").distinct()).orderBy("kind", "s")
+
+
 def resolved(triples: DataFrame, choices: DataFrame) -> DataFrame:
     """J14. Triples after choices (s, p, existing_uri, new_uri, choice): 'keep', 'replace', or 'both' (the new one as a close match)."""
     replaced = choices.where("choice = 'replace'")

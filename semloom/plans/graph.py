@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semloom.functions.text import strip
 from semloom.operators import graph as G
 from semloom.operators.vocabulary import NAMESPACES, Vocabulary
 from semloom.plans.query import Queries, sql_strip
@@ -49,12 +50,12 @@ def triples(load) -> DataFrame:
         *(rows(linked(i), F.when(direct, model).otherwise(scope), p, F.col("iri"), "iri") for i, p in ((0, V.hazard), (1, V.product))),
         rows(params, model, V.has_parameter[0], param, "iri"), rows(params, param, V.param_id, F.col("id"), "literal"), rows(params, param, V.name, F.col("name"), "literal"),
         rows(params, param, V.unit, F.col("unittext"), "literal"), rows(params, param, V.classification, F.col("classification"), "literal"),
-        *(rows(mapping.where(F.col(c) != ""), row, p, F.col(c), "iri") for c, p in (("uri1", V.matches[0]), ("uri2", V.matches[1]), ("uri3", V.matches[2]))),
+        *(rows(mapping.where(~F.lower(strip(F.col(c))).isin("", "nan")), row, p, strip(F.col(c)), "iri") for c, p in (("uri1", V.matches[0]), ("uri2", V.matches[1]), ("uri3", V.matches[2]))),
     ]
     return G.union(*parts)
 
 
-T = full("""with half as (select *, lower(trim(string_split(title, ' / ')[1])) as hz, lower(trim(string_split(title, ' / ')[2])) as pr, regexp_matches(model_id, '[13579]$') as direct from models),
+T = full(f"""with half as (select *, lower(trim(string_split(title, ' / ')[1])) as hz, lower(trim(string_split(title, ' / ')[2])) as pr, regexp_matches(model_id, '[13579]$') as direct from models),
 lab as (select label_norm, min(iri) as iri from ontology_index group by 1),
 triples as (
 select iri as s, 'rdf:type' as p, 'skos:Concept' as o from ontology_index
@@ -72,9 +73,9 @@ union all select 'param:' || param_key, 'meta:paramId', id from model_parameter
 union all select 'param:' || param_key, 'schema:name', name from model_parameter where name is not null
 union all select 'param:' || param_key, 'meta:unit', unittext from model_parameter where unittext is not null
 union all select 'param:' || param_key, 'meta:classification', classification from model_parameter where classification is not null
-union all select 'map:' || row_id, 'skos:exactMatch', uri1 from master_mapping where uri1 <> ''
-union all select 'map:' || row_id, 'skos:closeMatch', uri2 from master_mapping where uri2 <> ''
-union all select 'map:' || row_id, 'skos:broadMatch', uri3 from master_mapping where uri3 <> ''),
+union all select 'map:' || row_id, 'skos:exactMatch', {sql_strip('uri1')} from master_mapping where lower({sql_strip('uri1')}) not in ('', 'nan')
+union all select 'map:' || row_id, 'skos:closeMatch', {sql_strip('uri2')} from master_mapping where lower({sql_strip('uri2')}) not in ('', 'nan')
+union all select 'map:' || row_id, 'skos:broadMatch', {sql_strip('uri3')} from master_mapping where lower({sql_strip('uri3')}) not in ('', 'nan')),
 link as (select m.s as model, t.p, t.o from triples m join triples t on t.s = m.o where m.p = 'meta:hasScope' and t.p in ('meta:hazard', 'meta:product')
   union all select t.s, t.p, t.o from triples t join triples m on m.s = t.s and m.p = 'rdf:type' and m.o = 'meta:Model' where t.p in ('meta:hazard', 'meta:product')),
 pair as (select a.model, a.o as product, b.o as hazard from link a join link b on a.model = b.model where a.p = 'meta:product' and b.p = 'meta:hazard')

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder under the shared one, for what a query writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def col(name: str) -> Column:
     """The top-level column of exactly this name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -46,11 +52,14 @@ def computed(df: DataFrame, *columns: str | Column) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and cut lineage that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Only with a local master, where
+    all tasks share one machine, a temporary folder stands in for it; elsewhere
+    a missing setting is an error, as each host would write to a disk of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="semloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:

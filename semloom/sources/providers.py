@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from semloom.functions.text import ncbi_uri, path_tail
 
 FIELDS = ("uri", "label", "description", "ontology", "source_provider", "db", "id")
-#: Seconds between the requests of a task, by provider.
+#: Seconds between the requests at a provider.
 PAUSE = {"wikidata": 0.05, "ncbi": 0.34, "bioportal": 1.0, "ols": 0.5, "semlookp": 0.05}
 
 
@@ -94,7 +94,7 @@ def suggestions(responses: DataFrame, order: Sequence[str] = tuple(PROVIDERS)) -
 
 
 def fan_out(terms: DataFrame, connectors: Mapping[str, Callable[[str], str]], parallel: int = 4) -> DataFrame:
-    """J-multi. (term, provider, status, error, body): every distinct non-blank term asked at every connector, each provider in ``parallel`` tasks with its pause."""
+    """J-multi. (term, provider, status, error, body): every distinct non-blank term asked at every connector, each provider in ``parallel`` tasks that together keep its pause."""
     out = None
     asked = terms.select("term").where("trim(term) <> ''").distinct()
     for name, ask in connectors.items():
@@ -107,7 +107,7 @@ def fan_out(terms: DataFrame, connectors: Mapping[str, Callable[[str], str]], pa
                         rows.append((term, name, "completed", None, ask(term)))
                     except Exception as e:
                         rows.append((term, name, "error", str(e)[:200], None))
-                    time.sleep(PAUSE.get(name, 0.0))
+                    time.sleep(PAUSE.get(name, 0.0) * parallel)
                 yield pd.DataFrame(rows, columns=["term", "provider", "status", "error", "body"])
 
         part = asked.repartition(parallel, "term").mapInPandas(run, "term string, provider string, status string, error string, body string")

@@ -257,9 +257,9 @@ def json_ld(text: str, source: str = "") -> list[tuple]:
     return out
 
 
-def parse(text: str, source: str) -> list[tuple]:
-    """S3. (g, s, p, o, o_kind, o_lang, o_dtype) by the file's extension; g is the source, or the named graph of TriG."""
-    kind = source.rsplit(".", 1)[-1].lower()
+def parse(text: str, source: str, kind: str | None = None) -> list[tuple]:
+    """S3. (g, s, p, o, o_kind, o_lang, o_dtype) by ``kind`` (else the file's extension); g is the source, or the named graph of TriG."""
+    kind = kind or source.rsplit(".", 1)[-1].lower()
     if kind in ("rdf", "owl", "xml"):
         return [(source, *r) for r in rdf_xml(text, source)]
     if kind in ("jsonld", "json"):
@@ -269,10 +269,11 @@ def parse(text: str, source: str) -> list[tuple]:
     return [(g or source, *r) for g, r in zip(turtle.graphs, rows)]
 
 
-def read_rdf(spark: SparkSession, *paths: str) -> DataFrame:
+def read_rdf(spark: SparkSession, *paths: str, kind: str | None = None) -> DataFrame:
     """S3/S4. Distinct triples of files and folders (globs); g is the file. A file that can't be read fails the query by name.
 
-    N-Triples should be read by ``read_ntriples``, which splits files; other
+    ``kind`` ('ttl', 'trig', 'rdf', 'jsonld') stands for the extension where files
+    have none of their own. N-Triples should be read by ``read_ntriples``, which splits files; other
     formats are one file per task.
     """
 
@@ -280,7 +281,7 @@ def read_rdf(spark: SparkSession, *paths: str) -> DataFrame:
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
                 try:
-                    rows = parse(bytes(content).decode("utf-8-sig"), path)
+                    rows = parse(bytes(content).decode("utf-8-sig"), path, kind) if len(content) else []
                 except Exception as e:
                     raise ValueError(f"{path}: {e}") from e
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])

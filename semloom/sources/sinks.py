@@ -67,8 +67,8 @@ def prefix_header(prefixes: Mapping[str, str]) -> str:
     return "".join(f"@prefix {p}: <{ns}> .\n" for p, ns in prefixes.items())
 
 
-def _with_head(blocks: DataFrame, head: str) -> DataFrame:
-    """The blocks as lines, each partition with the head before its first."""
+def _with_head(blocks: DataFrame, head: str, tail: str | None = None) -> DataFrame:
+    """The blocks as lines, each partition that has any with the head before its first and the tail after its last."""
 
     def run(batches):
         import pandas as pd
@@ -78,6 +78,8 @@ def _with_head(blocks: DataFrame, head: str) -> DataFrame:
             if len(b):
                 yield pd.DataFrame({"value": [head, *b["block"]] if first else b["block"]})
                 first = False
+        if tail and not first:
+            yield pd.DataFrame({"value": [tail]})
 
     return blocks.mapInPandas(run, "value string")
 
@@ -175,6 +177,12 @@ def rdf_xml(triples: DataFrame) -> DataFrame:
     return triples.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set(body)), "").alias("b")).select(F.concat(F.lit("<rdf:Description "), about, F.lit(">"), "b", F.lit("</rdf:Description>")).alias("value"))
 
 
+def write_rdf_xml(triples: DataFrame, path: str) -> None:
+    """K4. Every part file is a document of its own."""
+    blocks = rdf_xml(triples).withColumnRenamed("value", "block")
+    _with_head(blocks, '<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">', "</rdf:RDF>").write.mode("overwrite").text(path)
+
+
 def jsonld(triples: DataFrame) -> DataFrame:
     """K4. (s, value): one indented node object per subject, in expanded form."""
     plain = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
