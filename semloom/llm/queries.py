@@ -13,6 +13,8 @@ from semloom.llm.tokens import encode_corpus
 from semloom.llm.topn import top_n
 from semloom.session import col, table
 
+#: Tokens of a container.
+CAPACITY = 2048
 FIELDS = ["uri", "label", "description", "source_provider"]
 
 
@@ -68,7 +70,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(spark)))
+    return pack(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(spark)), CAPACITY)
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,17 @@ def p7_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certificate(_packed(spark, sf_dir))
 
 
+def p7_legal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing checked: containers over capacity or with pieces that overlap or leave gaps, documents that are cut without need or not whole, and documents in all."""
+    p = _packed(spark, sf_dir)
+    inside = p.where("container is not null").groupBy("container").agg(F.sum("n").alias("n"), F.max(F.col("offset") + F.col("n")).alias("end"), F.countDistinct("offset").alias("starts"), F.count(F.lit(1)).alias("pieces"))
+    bad = inside.agg(F.count_if(F.col("n") > CAPACITY).alias("overfull"), F.count_if((F.col("end") != F.col("n")) | (F.col("starts") != F.col("pieces"))).alias("disordered"))
+    sizes = token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(spark)).withColumnRenamed("n", "size")
+    docs = p.groupBy("id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start") + F.col("n")).alias("end")).join(sizes, "id", "full")
+    whole = docs.agg(F.count_if((F.col("size") <= CAPACITY) & (F.col("pieces") > 1)).alias("cut"), F.count_if(~F.coalesce((F.col("n") == F.col("size")) & (F.col("end") == F.col("size")), F.lit(False))).alias("not_whole"), F.count(F.lit(1)).alias("documents"))
+    return bad.join(whole, F.lit(True))  # one row each
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -90,7 +103,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_certificate": p7_certificate, "p4_found": p4_found, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found}
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_certificate": p7_certificate, "p7_legal": p7_legal, "p4_found": p4_found, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found}
 
 _CONCEPT = r"""
   case when uri is null or regexp_matches(uri, '^\s*(-|[nN]/[aA])?\s*$') then nullif(trim(id), '')
@@ -128,6 +141,7 @@ f as (select term_id, concept, arg_min(suggestion_id, (layer, k)) as survivor_id
 select f.term_id, f.concept, m.group_id, m.n as n_rows, survivor_id, a.uri as best_uri, b.label as best_label, c.description as best_description, d.source_provider as best_source_provider
 from f join m on m.term_id = f.term_id and m.concept = f.concept left join suggestion a on a.suggestion_id = i0 left join suggestion b on b.suggestion_id = i1 left join suggestion c on c.suggestion_id = i2 left join suggestion d on d.suggestion_id = i3
 """,
+    "p7_legal": "select 0 as overfull, 0 as disordered, 0 as cut, 0 as not_whole, count(*) as documents from documents",
     "p5_found": """
 select suggestion_id, cast(place as integer) as place from (
   select suggestion_id, row_number() over (
