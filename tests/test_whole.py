@@ -78,10 +78,18 @@ def test_best_match(spark, data, read, scored):
         assert (got[t["term_id"]]["uri"], got[t["term_id"]]["provider_term"]) == (uri, label), t
 
 
-def test_hybrid(spark, data, scored):
-    number = lambda v: 0.0 if v is None or math.isnan(v) else v
-    got = {r["suggestion_id"]: r["score"] for r in run(spark, data, "x2_hybrid")}
-    assert got == pytest.approx({s["suggestion_id"]: number(s["score"]) * 0.7 + v * 0.3 for _, s, v in scored}, abs=1e-8)
+def test_hybrid(spark, data, scored, read):
+    vectors = {r["vec_id"]: r["embedding"] for r in read("embeddings")}
+    n = len(vectors)
+
+    def cosine(a, b):
+        x, y = vectors[a % n], vectors[b % n]
+        norm = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+        return sum(v * w for v, w in zip(x, y)) / norm if norm else 0.0
+
+    want = {s["suggestion_id"]: cosine(s["suggestion_id"], t["term_id"]) * 0.5 + cosine(s["suggestion_id"] + 7, t["term_id"]) * 0.2 + v * 0.3 for t, s, v in scored}
+    assert {r["suggestion_id"]: r["score"] for r in run(spark, data, "x2_hybrid")} == pytest.approx(want, abs=2e-6)
+    assert any(odd(t["term"]) for t, *_ in scored)
 
 
 def words(text):
