@@ -283,7 +283,7 @@ def m14_fan_out(load):
 
 
 @query("select upper(provider) as name, cast(row_number() over (order by case upper(provider) when 'OLX' then 0 when 'LOCALGRAPH' then 1 else 2 end, upper(provider)) as integer) as place from (select distinct provider from suggestion)")
-def p13_catalogue(load):
+def catalogue_order(load):
     """P13/P14. The providers, the preferred ones first."""
     names = providers.catalogue_order(load("suggestion").select(F.col("provider").alias("name")), ["olx", "localgraph"])
     # A catalogue is a short list; its order is what is asked for.
