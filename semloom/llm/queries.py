@@ -91,7 +91,8 @@ def p7_legal(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(spark)).withColumnRenamed("n", "size")
     docs = p.groupBy("id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start") + F.col("n")).alias("end")).join(sizes, "id", "full")
     whole = docs.agg(F.count_if((F.col("size") <= CAPACITY) & (F.col("pieces") > 1)).alias("cut"), F.count_if(~F.coalesce((F.col("n") == F.col("size")) & (F.col("end") == F.col("size")), F.lit(False))).alias("not_whole"), F.count(F.lit(1)).alias("documents"))
-    return bad.join(whole, F.lit(True))  # one row each
+    counts = ("overfull", "disordered", "cut", "not_whole", "documents")
+    return bad.unionByName(whole, allowMissingColumns=True).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
