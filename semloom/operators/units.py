@@ -146,12 +146,14 @@ def stated_units(df: DataFrame, unit_reference: DataFrame, key: str, value: str,
         known = F.transform(placed, lambda p: F.struct(F.element_at(F.col("__map"), unit_key(p["x"])).alias("u"), p["by"].alias("by")))
         return F.get(F.filter(known, lambda p: p["u"].isNotNull()), F.lit(0))
 
-    # The mentions are read only where neither the value nor a field decides, as a conditional is lazy.
+    # The mentions are read only where neither the value nor a field decides, as coalesce and conditionals are lazy. All of it
+    # is one step, as each step that needs the list's map copies it into every row.
     near = F.when(F.col("__rest") != "", F.array(F.col("__rest"), *(F.lit("") for _ in f))).otherwise(F.array(F.lit(""), *map(F.col, f)))
-    stated = computed(numbered, "__key", "__number", "__rest", "__map", *f, *t, first(near, ["value", *fields]).alias("__near"))
-    mentions = F.array(*(F.regexp_extract(F.coalesce(_clean(F.col(n)), F.lit("")), m, 1) for n in t for m in MENTIONS))
-    far = F.when(F.col("__near").isNull() & (F.col("__rest") == ""), first(mentions, [c for c in texts for _ in MENTIONS])) if texts else F.col("__near")
-    found = computed(stated, "__key", "__number", "__rest", *f, *t, F.coalesce("__near", far).alias("__s"))
+    places = [first(near, ["value", *fields])]
+    if texts:
+        mentions = F.array(*(F.regexp_extract(F.coalesce(_clean(F.col(n)), F.lit("")), m, 1) for n in t for m in MENTIONS))
+        places.append(F.when(F.col("__rest") == "", first(mentions, [c for c in texts for _ in MENTIONS])))
+    found = computed(numbered, "__key", "__number", "__rest", *f, *t, F.coalesce(*places).alias("__s"))
     blank = lambda c: F.lower(_clean(c)).isin(*PLACEHOLDERS)
     mentioned = [F.regexp_extract(F.coalesce(_clean(F.col(n)), F.lit("")), m, 1) == "" for n in t for m in MENTIONS[:PLAIN_MENTIONS]]
     silent = F.col("__rest") == ""
