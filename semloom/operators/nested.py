@@ -1,7 +1,8 @@
 """Nested model metadata as a table of nodes, identified and mapped by rules, and put together again (J1-J10, J18).
 
-A document is walked once into one row per value: its path (array places left
-out), the node of its object and its parent. Rules that say which object gets
+A document is walked into one row per value: its path (array places left out),
+its node, its parent and its owner, which is the parent of the list for items of
+one. Rules that say which object gets
 which id are a small table joined on the path; ids are expressions over a node's
 own fields. Documents are rebuilt only where a sink asks for them.
 """
@@ -19,24 +20,24 @@ from semloom.functions.text import hash_id, sanitize_iri, strip_digits
 from semloom.operators.vocabulary import Vocabulary
 from semloom.session import computed
 
-NODES = "model_id string, node_id long, parent_id long, path string, key string, arr_ix int, kind string, value string"
+NODES = "model_id string, node_id long, parent_id long, path string, key string, arr_ix int, kind string, value string, owner_id long"
 
 
 def _walk(model: str, doc: object) -> Iterator[tuple]:
     """Rows of a document, parents before children, without recursion (documents may be deep)."""
-    stack: list[tuple[object, int, str, str, int | None]] = [(doc, -1, "", "", None)]
+    stack: list[tuple[object, int, str, str, int | None, int]] = [(doc, -1, "", "", None, -1)]
     n = 0
     while stack:
-        value, parent, path, key, ix = stack.pop()
+        value, parent, path, key, ix, owner = stack.pop()
         node = n
         n += 1
         kind = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number"}.get(type(value), "null")
         text = None if kind in ("object", "array", "null") else value if kind == "string" else json.dumps(value)
-        yield model, node, parent, path, key, ix, kind, text
+        yield model, node, parent, path, key, ix, kind, text, owner
         if kind == "object":
-            stack += [(v, node, f"{path}.{k}" if path else k, k, None) for k, v in reversed(value.items())]
+            stack += [(v, node, f"{path}.{k}" if path else k, k, None, node) for k, v in reversed(value.items())]
         elif kind == "array":
-            stack += [(v, node, path, key, i) for i, v in reversed([*enumerate(value)])]
+            stack += [(v, node, path, key, i, parent) for i, v in reversed([*enumerate(value)])]
 
 
 def walk(docs: DataFrame, model_id: str, doc: str) -> DataFrame:
@@ -84,14 +85,19 @@ def identified(nodes: DataFrame, base: str, ontology: DataFrame | None = None) -
     hazards, groups and categories; then the rule's fields; then the hash of the
     object's scalar fields in the order of their names.
     """
-    objects = nodes.where("kind = 'object'")
-    fields = nodes.where("kind not in ('object', 'array', 'null') and arr_ix is null")
-    own = fields.groupBy("model_id", F.col("parent_id").alias("node_id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("f"))
-    size = nodes.where("arr_ix is null").groupBy("model_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("size"))
-    o = objects.where("path <> '' or arr_ix is not null").join(own, ["model_id", "node_id"], "left").join(size, ["model_id", "node_id"], "left").where("size > 1 or arr_ix is not null")
+    # An object meets its fields in one aggregation: each value is there once for itself, if it is an object, and once for the object that it is a field of.
+    own = F.expr("kind = 'object' and (path <> '' or arr_ix is not null)")
+    scalar = ~F.col("kind").isin("object", "array", "null")
+    parts = F.array(
+        F.when(own, F.struct("node_id", F.struct("path", "arr_ix").alias("self"), F.lit(None).cast("struct<key: string, value: string>").alias("field"))),
+        F.when(F.col("arr_ix").isNull(), F.struct(F.col("parent_id").alias("node_id"), F.lit(None).cast("struct<path: string, arr_ix: int>").alias("self"), F.when(scalar, F.struct("key", "value")).alias("field"))),
+    )
+    held = nodes.select("model_id", F.inline(F.filter(parts, lambda x: x.isNotNull()))).groupBy("model_id", "node_id")
+    met = held.agg(F.max("self").alias("self"), F.map_from_entries(F.array_sort(F.collect_list("field"))).alias("f"), F.count_if(F.col("self").isNull()).alias("size"))
+    o = met.where("self is not null and (size > 1 or self.arr_ix is not null)").select("model_id", "node_id", "self.path", "self.arr_ix", "f")
     get = lambda name: F.nullif(F.element_at("f", F.lit(name)), F.lit(""))
     last = F.element_at(F.split("path", r"\."), -1)
-    content = F.to_json(F.coalesce("f", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    content = F.to_json("f")
     model = F.concat(F.lit(base), sanitize_iri(F.col("model_id")))
     section = F.col("path").isin(*SECTIONS) & F.col("arr_ix").isNull()
     # Which kind of id an object gets and from which of its fields; the text is made fit for an IRI once, at the end.
@@ -130,31 +136,36 @@ def mapped_values(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.select(*nodes.columns, F.when(F.col("kind") == "string", F.coalesce("own", "by_parent")).alias("iri"))
 
 
+#: Contexts of up to this many rows are broadcast; longer ones are shuffled.
+BROADCAST_CONTEXT = 20_000
+
+
 def with_context(nodes: DataFrame, context: DataFrame, vocab: str | None = None) -> DataFrame:
     """J2 (scoped contexts). Nodes with the property's iri: by (scope, key, iri), the nearest scope first, then the default vocabulary.
 
     A scope is the path of the object whose context defines a key, '' for the whole document. Keys that begin with '@' stay.
     """
     outer = F.when(F.col("path").contains("."), F.regexp_replace("path", r"\.[^.]*$", "")).otherwise("")
-    steps = F.split(outer, r"\.")
-    scopes = F.array_union(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ".")), F.array(F.lit("")))
-    keyed = nodes.where("key <> ''").select("model_id", "node_id", "key", F.explode(scopes).alias("scope"))
-    best = keyed.join(context, ["scope", "key"]).groupBy("model_id", "node_id").agg(F.max_by("iri", F.length("scope")).alias("iri"))
+    known = context.groupBy("scope", "key").agg(F.min("iri").alias("iri")).groupBy("key").agg(F.collect_list(F.struct(F.length("scope").alias("n"), "scope", "iri")).alias("known"))
+    known = F.broadcast(known) if context.limit(BROADCAST_CONTEXT + 1).count() <= BROADCAST_CONTEXT else known
+    # Only few keys are in the context, so each node takes all entries of its key and keeps the nearest.
+    around = F.filter("known", lambda x: (x["scope"] == "") | F.concat(outer, F.lit(".")).startswith(F.concat(x["scope"], F.lit("."))))
+    iri = F.when((F.col("key") != "") & F.col("known").isNotNull(), F.array_max(around)["iri"])
     default = F.when(F.col("key").startswith("@"), F.col("key")).otherwise(F.concat(F.lit(vocab), F.col("key")) if vocab else F.lit(None).cast("string"))
-    return nodes.join(best, ["model_id", "node_id"], "left").withColumn("property", F.coalesce("iri", F.when(F.col("key") != "", default))).drop("iri")
+    return nodes.join(known, "key", "left").select(*nodes.columns, F.coalesce(iri, F.when(F.col("key") != "", default)).alias("property"))
 
 
 def to_triples(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """Triples (s, p, o, o_kind) of nodes with ``property``: objects by their id, else by a blank node that follows from model and place."""
-    named = nodes.join(ids.select("model_id", "node_id", F.col("iri").alias("id")), ["model_id", "node_id"], "left")
+    # Both joins are by sorted runs: their sides grow with the documents, and one that looks small when packed would be spread by way of the driver.
+    objects = nodes.where("kind = 'object'").select("model_id", "node_id", "owner_id", "property")
+    named = objects.join(ids.select("model_id", "node_id", F.col("iri").alias("id")).hint("merge"), ["model_id", "node_id"], "left")
     me = F.coalesce("id", F.concat(F.lit("_:b"), F.substring(F.md5(F.concat_ws("|", "model_id", "node_id")), 1, 16)))
-    known = named.select("model_id", "node_id", me.alias("me"), "kind", "value", "property", "parent_id", "arr_ix")
-    arrays = known.where("kind = 'array'").select("model_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("up"), F.col("property").alias("of"))
-    flat = known.join(arrays, ["model_id", "parent_id"], "left").withColumns({"parent_id": F.coalesce("up", "parent_id"), "property": F.coalesce("of", "property")})
-    parents = known.where("kind = 'object'").select("model_id", F.col("node_id").alias("parent_id"), F.col("me").alias("s"))
-    rows = flat.where("kind not in ('array', 'null') and property is not null").join(parents, ["model_id", "parent_id"])
-    kind = F.when(F.col("kind") != "object", "literal").when(F.col("me").startswith("_:"), "bnode").otherwise("iri")
-    return rows.select("s", F.col("property").alias("p"), F.when(F.col("kind") == "object", F.col("me")).otherwise(F.col("value")).alias("o"), kind.alias("o_kind")).distinct()
+    known = named.select("model_id", "node_id", "owner_id", "property", me.alias("me"))
+    held = known.select("model_id", "owner_id", F.col("property").alias("p"), F.col("me").alias("o"), F.when(F.col("me").startswith("_:"), "bnode").otherwise("iri").alias("o_kind"))
+    said = nodes.where("kind not in ('object', 'array', 'null')").select("model_id", "owner_id", F.col("property").alias("p"), F.col("value").alias("o"), F.lit("literal").alias("o_kind"))
+    owners = known.select("model_id", F.col("node_id").alias("owner_id"), F.col("me").alias("s"))
+    return held.unionByName(said).where("p is not null").join(owners.hint("merge"), ["model_id", "owner_id"]).select("s", "p", "o", "o_kind").distinct()
 
 
 def expand(value: object, context: Mapping[str, object]) -> object:
